@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.llm import bpe_codec, packing, token_counts, token_files
+from meshloom.llm import bpe_codec, exact_dedup, packing, secret_scan, simhash, token_counts, token_files
 from meshloom.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -30,5 +42,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op7_bpe_round_trip, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op3_best_fit_packing, op4_secret_scan, op5_exact_dedup, op6_simhash_near_dedup, op7_bpe_round_trip, op10_token_files)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents
+        ), g AS (
+            SELECT k, arg_min(doc_id, (-length(t), doc_id)) AS keep_id, count(*) AS group_size FROM n GROUP BY k
+        )
+        SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.k) AS text_sha256
+        FROM n JOIN g ON n.k = g.k
+    """,
+}
