@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshloom.llm import bpe_codec, exact_dedup, packing, secret_scan, simhash, token_counts, token_files
+from meshloom.llm import bpe_codec, exact_dedup, language_id, packing, quality, secret_scan, simhash, substring_dedup, token_counts, token_files
 from meshloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -38,13 +42,21 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), full=20, base=5)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_best_fit_packing, op4_secret_scan, op5_exact_dedup, op6_simhash_near_dedup, op7_bpe_round_trip, op10_token_files)
+    for f in (op1_quality_rules, op2_token_counts, op3_best_fit_packing, op4_secret_scan, op5_exact_dedup, op6_simhash_near_dedup, op7_bpe_round_trip, op8_substring_dedup, op9_language_id, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
