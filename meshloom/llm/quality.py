@@ -126,8 +126,10 @@ def keep_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHO
     """The rows of ``docs`` that ``quality`` keeps, with all their columns and no others."""
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
     ratios = log_ratios(gram_counts(docs, trusted))
-    scored = llr_score(base_counts(rows), ratios)
-    return scored.where(_verdict(threshold)[1]).select("_row.*")
+    # A row number that isn't a function of the row keeps the filter where it is: pushed below the
+    # selects of base_counts, it would compute their arrays again for every element.
+    judged = llr_score(base_counts(rows), ratios).select("_row", _verdict(threshold)[1].alias("_kept"), F.monotonically_increasing_id().alias("_n"))
+    return judged.where(F.col("_kept") & (F.col("_n") >= 0)).select("_row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
