@@ -16,10 +16,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh64_intdigest
 
-from meshloom.llm.common import Cache, Scratch, id_text
+from meshloom.llm.common import SPACE_BYTES, Scratch, id_text
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,17 +49,57 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+class Words:
+    """The words of many texts, side by side, and a hash of each."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(data, np.uint8)
+        edge = np.diff(np.r_[np.int8(1), IS_SPACE[buf]])
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.hash = _hash_words(buf, starts, ends)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])))
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))  # a text's first word
+
+
+IS_SPACE = np.zeros(256, np.int8)
+IS_SPACE[list(SPACE_BYTES)] = 1
+_RANDOM = np.random.default_rng(20)
+BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+STEP = int(_RANDOM.integers(1, 1 << 62)) * 2 + 1
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of STEP and of its inverse modulo 2**64, up to the largest text block met so far."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((STEP, pow(STEP, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64)
+    return _POWERS
+
+
+def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all words at once, from one running sum over the bytes."""
+    up, down = _powers(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(BYTE[buf] * up[: len(buf)], out=total[1:])
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD)
+
+
 class Windows:
-    """The windows of one document at every level."""
+    """The windows of many texts at every level; places are those of ``Words``."""
 
-    def __init__(self, hashes: np.ndarray, base: int, full: int):
+    def __init__(self, words: Words, base: int, full: int):
         self.base, self.full = base, full
-        self.n = max(0, len(hashes) - full + 1)  # full windows
-        if not self.n:
+        n = max(0, len(words.hash) - full + 1)
+        self.live = np.flatnonzero(words.text[:n] == words.text[full - 1 :]) if n else np.empty(0, np.int64)  # windows within one text
+        if not n:
             return
-        h = np.zeros(len(hashes) - base + 1, np.uint64)
+        h = np.zeros(len(words.hash) - base + 1, np.uint64)
         for k in range(base):
-            h = h * ODD + hashes[k : k + len(h)]
+            h = h * ODD + words.hash[k : k + len(h)]
         self.hash = {base: _mix(h)}
         size = base
         while size * 2 <= full:
@@ -67,7 +107,7 @@ class Windows:
             self.hash[size * 2] = _joined(a[:-size], a[size:])
             size *= 2
         # where[L][p]: the window of length L that stands for the full window at p
-        place = np.arange(self.n)
+        place = np.arange(n)
         self.where = {base: _sliding_argmin(self.hash[base], full - base + 1)}
         size = base
         while size * 2 < full:
@@ -78,64 +118,74 @@ class Windows:
     def candidates(self, size: int, survivors: np.ndarray | None) -> np.ndarray:
         """Places of windows of ``size`` words whose half (or nothing, at the base) is repeated;
         for the full size, of full windows."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        if survivors is None:
-            return np.unique(self.where[self.base])
-        held = np.zeros(len(self.hash[self.base]), bool)
-        held[survivors] = True
-        live = np.flatnonzero(held[self.where[size // 2]])
-        return live if size == self.full else np.unique(self.where[size][live])
-
-
-def word_hashes(words: list[bytes], memo: Cache) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-def _memo() -> Cache:
-    return Cache(lambda w: xxh64_intdigest(w, 7), 800_000)
-
-
-ROWS = "route long, state byte, doc long, th long, at int"
-FOUND = "doc long, th long, at array<int>"
+        live = self.live
+        if not len(live):
+            return live
+        if survivors is not None:
+            held = np.zeros(len(self.hash[self.base]), bool)
+            held[survivors] = True
+            live = live[held[self.where[size // 2][live]]]
+        if size == self.full:
+            return live
+        chosen = np.zeros(len(self.hash[self.base]), bool)
+        chosen[self.where[size][live]] = True
+        return np.flatnonzero(chosen)
+
+
+BLOCK = 2 << 20  # bytes of text that a worker takes at a time; a longer text is a block alone
+
+
+# A row is three longs, since all candidate windows cross the network. ``route`` is a window's hash
+# with an even last bit, or an odd number where the row is decided already; ``tag`` packs the text's
+# hash (32 bits), the state (2 bits) and the place in words (30 bits).
+ROWS = "route long, doc long, tag long"
+FOUND = "doc long, th int, at array<int>"
 SINGLE, KNOWN, SEVERAL = 0, 1, 2
+PLACES = 30
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc, th, text: a row's place in the order of documents, and its text's hash, which tells
     rows apart that share an id."""
-    return id_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.col("doc_id"), F.col("text"))
+    return id_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("th"), F.col("doc_id"), F.col("text"))
 
 
 def _gather(size: int, base: int, full: int):
     """Documents (with what survived of them) to rows of candidate windows of ``size`` words.
 
-    Each batch is aggregated first. Of equal windows in it one goes on under its hash; what the
-    batch itself decides (a window is repeated; a full window has an earlier copy) is routed by
+    Each block is aggregated first. Of equal windows in it one goes on under its hash; what the
+    block itself decides (a window is repeated; a full window has an earlier copy) is routed by
     document instead, so a passage in a third of all documents costs its hash's task one row
-    for each batch.
+    for each block.
     """
 
-    def run(batches):
-        memo = _memo()
+    def blocks(batches):
         for b in batches:
             cols = {f.name: b.column(k) for k, f in enumerate(b.schema)}
             doc_of, th_of = cols["doc"].to_numpy(), cols["th"].to_numpy()
-            old = cols["at"].to_pylist() if "at" in cols else [None] * b.num_rows
-            keys, docs, places = [], [], []
-            for k, (text, at) in enumerate(zip(cols["text"].to_pylist(), old, strict=True)):
-                words = text.encode().split()
-                if len(words) < full or "at" in cols and not at:
-                    continue
-                w = Windows(word_hashes(words, memo), base, full)
-                c = w.candidates(size, None if "at" not in cols else np.concatenate([np.asarray(x, np.int64) for x in at]))
-                keys.append(w.hash[size][c])
-                places.append(c)
-                docs.append(np.full(len(c), k))
-            if not keys:
+            lens = pc.binary_length(cols["text"]).to_numpy()
+            at = 0
+            while at < len(lens):
+                end = at + max(1, int(np.searchsorted(np.cumsum(lens[at:]), BLOCK, "right")))
+                texts = [t.encode() for t in cols["text"].slice(at, end - at).to_pylist()]
+                yield texts, cols["at"].slice(at, end - at).to_pylist() if "at" in cols else None, doc_of[at:end], th_of[at:end]
+                at = end
+
+    def run(batches):
+        for texts, old, doc_of, th_of in blocks(batches):
+            words = Words(texts)
+            survivors = None
+            if old is not None:
+                parts = [np.concatenate([np.asarray(x, np.int64) for x in some]) + first for some, first in zip(old, words.first, strict=True) if some]
+                survivors = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            w = Windows(words, base, full)
+            c = w.candidates(size, survivors)
+            if not len(c):
                 continue
-            key, at, doc = np.concatenate(keys), np.concatenate(places), np.concatenate(docs)
+            key, doc = w.hash[size][c] & ~np.uint64(1), words.text[c]
+            at = c - words.first[doc]
             d, t = doc_of[doc], th_of[doc]
+            del w, words
             order = np.lexsort((at, t, d, key))
             key, at, d, t = key[order], at[order], d[order], t[order]
             first = np.r_[True, key[1:] != key[:-1]]
@@ -148,11 +198,13 @@ def _gather(size: int, base: int, full: int):
                 new_row = first | np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
                 state[(d == lead) & new_row] = SINGLE
             mixed = (d.view(np.uint64) * ODD) ^ at.astype(np.uint64)
-            route = np.where(state == KNOWN, _mix(mixed), key).view(np.int64)
+            one = np.uint64(1)
+            route = np.where(state == KNOWN, _mix(mixed) | one, key & ~one).view(np.int64)
+            tag = (t.astype(np.int64) << 32) | (state.astype(np.int64) << PLACES) | at
             again = np.zeros(len(key), bool)  # the same place of the same row, from a row that repeats
             again[1:] = (key[1:] == key[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
             keep = ~again if size == full else np.ones(len(key), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (route, state, d, t, at.astype(np.int32))], ["route", "state", "doc", "th", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (route, d, tag)], ["route", "doc", "tag"])
 
     return run
 
@@ -168,12 +220,12 @@ def _by_document(d: np.ndarray, t: np.ndarray, at: np.ndarray):
 
 
 def _decide(full: bool):
-    """Rows sorted by (state is KNOWN, route, doc) to the places that survive (or, of full
-    windows, have an earlier copy), by document. A run of one route may span batches: only its
-    route, its first document and at most one row wait for the next batch."""
+    """Rows sorted by (route, doc) to the places that survive (or, of full windows, have an
+    earlier copy), by document. A run of one route may span batches: only its route, its first
+    document and at most one row wait for the next batch."""
 
     def run(batches):
-        last = None  # (known, route, first doc) of the run that the previous batch ended in
+        last = None  # (route, first doc) of the run that the previous batch ended in
         held = None  # its last row, where whether it survives is still open
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -184,26 +236,27 @@ def _decide(full: bool):
             if not n:
                 continue
             t = t.combine_chunks()
-            route, state, d, th, at = (t.column(k).to_numpy() for k in range(5))
+            route, d, tag = (t.column(k).to_numpy() for k in range(3))
+            state, th, at = (tag >> PLACES) & 3, (tag >> 32).astype(np.int32), (tag & ((1 << PLACES) - 1)).astype(np.int32)
             known = state == KNOWN
             same = np.zeros(n, bool)
-            same[1:] = (route[1:] == route[:-1]) & (known[1:] == known[:-1])
-            same[0] = last is not None and last[:2] == (bool(known[0]), int(route[0]))
+            same[1:] = route[1:] == route[:-1]
+            same[0] = last is not None and last[0] == int(route[0])
             if full:
                 start = np.flatnonzero(~same)
                 run_of = np.cumsum(~same)  # 0: the run that goes on from the previous batch
-                firsts = np.r_[last[2] if same[0] else 0, d[start]]
+                firsts = np.r_[last[1] if same[0] else 0, d[start]]
                 hit = known | (d > firsts[run_of])
-                last = (bool(known[-1]), int(route[-1]), int(firsts[run_of[-1]]))
+                last = (int(route[-1]), int(firsts[run_of[-1]]))
             else:
                 follows = np.r_[same[1:], False]
                 hit = known | (state == SEVERAL) | same | follows
                 if not hit[-1]:
                     held = t.slice(n - 1)
                     # the held row is seen again at the head of the next batch, after what precedes it here
-                    last = (bool(known[-2]), int(route[-2]), 0) if n > 1 else last
+                    last = (int(route[-2]), 0) if n > 1 else last
                 else:
-                    last = (bool(known[-1]), int(route[-1]), 0)
+                    last = (int(route[-1]), 0)
             yield from _by_document(d[hit], th[hit], at[hit])
 
     return run
@@ -230,8 +283,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, full: int = 20, base: in
         else:
             per_doc = found.groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
             source = rows.select("doc", "th", "text").join(per_doc, ["doc", "th"])
-        out = source.mapInArrow(_gather(size, base, full), ROWS).withColumn("known", F.col("state") == KNOWN)
-        dealt = out.repartition(n, "route").sortWithinPartitions("known", "route", "doc").drop("known")
+        dealt = source.mapInArrow(_gather(size, base, full), ROWS).repartition(n, "route").sortWithinPartitions("route", "doc")
         newer = scratch.put(dealt.mapInArrow(_decide(size == full), FOUND), f"level{size}")
         if found is not None:
             scratch.drop(found)
