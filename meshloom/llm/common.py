@@ -50,7 +50,13 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, "false")
+        self.spark.conf.set(cleanup, "true")  # the written table stands for the plan: its shuffle files can go
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         self.sweep()
