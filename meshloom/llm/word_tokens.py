@@ -12,6 +12,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -69,14 +70,24 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """ids of unseen words. Words of letters alone go to the library many at a time: each is
-        one piece there and ends in the one token that carries the end-of-word mark."""
+        """ids of unseen words.
+
+        A word of ASCII letters is one piece, which the normaliser only lower-cases: it goes to the
+        library's model directly. Other words of letters go to the library many at a time: each is
+        one piece there and ends in the one token that carries the end-of-word mark. What is left
+        goes word by word.
+        """
         out: dict[str, bytes] = {}
         tails = [(w, m[1], m[2]) for w in words if self.has_ends and (m := TAIL.fullmatch(w)) and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha())]
         if tails:
             whole, memo = {w for w, _, _ in tails}, self.memo
             words = [*dict.fromkeys(x for x in (*(w for w in words if w not in whole), *(p for t in tails for p in t[1:])) if x not in memo)]
-        plain = [w for w in words if self.has_ends and w.isalpha() and len(w) <= LONGEST]
+        if self.has_ends:
+            tokenize = self.library.model.tokenize
+            for w in words:
+                if w.isascii() and w.isalpha():
+                    out[w] = array("I", [t.id for t in tokenize(w.lower())]).tobytes()
+        plain = [w for w in words if self.has_ends and w not in out and w.isalpha() and len(w) <= LONGEST]
         for at in range(0, len(plain), CHUNK):
             some = plain[at : at + CHUNK]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -102,22 +113,22 @@ class WordEncoder:
         out, memo = [], self.memo
         for at in range(0, len(texts), 64):
             part = [None if ODD.search(t) else t.split() for t in texts[at : at + 64]]
-            new = set()
-            for words in part:
-                if words:
-                    new.update(words)
-            new = [w for w in new if w not in memo]  # not a set difference: that would visit the whole memo
+            rows = [None if words is None else list(map(memo.get, words)) for words in part]
+            new = {w for words, ids in zip(part, rows, strict=True) if words and None in ids for w, i in zip(words, ids, strict=True) if i is None}
             extra: dict[str, bytes] = {}
             if new:
-                known = self._learn(sorted(new))
+                known = self._learn(list(new))
                 if len(memo) + len(known) > self.cap:
                     memo.clear()  # the memo is bounded; what was in it is encoded again when met
-                    known = self._learn(sorted({w for words in part if words for w in words}))
                 for w, ids in known.items():
                     (memo if len(w) <= LONGEST else extra)[w] = ids
-            get = memo.__getitem__ if not extra else lambda w, a=memo, b=extra: a[w] if w in a else b[w]
-            for text, words in zip(texts[at : at + 64], part, strict=True):
-                out.append(self._whole(text) if words is None else b"".join(map(get, words)))
+            for text, words, ids in zip(texts[at : at + 64], part, rows, strict=True):
+                if words is None:
+                    out.append(self._whole(text))
+                elif new and None in ids:
+                    out.append(b"".join([(memo[w] if w in memo else extra[w]) if i is None else i for w, i in zip(words, ids, strict=True)]))
+                else:
+                    out.append(b"".join(ids))
         return out
 
 
