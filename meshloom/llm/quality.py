@@ -18,8 +18,9 @@ SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 GRAM = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 14  # a power of two: a bucket is the hash's lowest bits
 THRESHOLD = -0.1
+FEW = 32  # up to so many repeated hashes of a text are looked up one by one; beyond it all of its windows are compared
 SMALL = 1_000_000  # trusted ids up to this count are broadcast (some 24 MB), more are joined by shuffle
 
 
@@ -31,14 +32,23 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column ``_base``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Each select gives an array a name, so that no array function computes it again per element.
-    Windows are compared as text: equal ones are neighbours after a sort, and the positions they
-    start at cover up to three words each.
+    Windows whose hash is repeated are compared as text: equal ones are neighbours after a sort, and
+    the positions they start at cover up to three words each.
     """
     own = docs.columns
     step = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     step = step.select(*own, "_t", _words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_l"))
     w = F.col("_w")
-    windows = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
+    n = F.size(w) - 2
+    hashes = F.transform(F.slice(w, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    step = step.select(*own, "_t", "_w", "_l", hashes.alias("_h")).select("*", F.sort_array("_h").alias("_r"))
+    r, h, d = F.col("_r"), F.col("_h"), F.col("_d")
+    step = step.select("*", F.array_distinct(F.filter(r, lambda x, i: x == F.get(r, i + 1))).alias("_d"))
+    # Equal windows have equal hashes: only places of hashes that occur again need their text compared.
+    every = F.sequence(F.lit(0), n - 1)
+    places = F.when(F.size(d) == 0, F.array().cast("array<int>")).when(F.size(d) <= FEW, F.filter(every, lambda i: F.array_contains(d, F.get(h, i)))).otherwise(every)
+    step = step.select(*own, "_t", "_w", "_l", places.alias("_c"))
+    windows = F.transform(F.col("_c"), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
     step = step.select(*own, "_t", "_w", "_l", F.sort_array(windows).alias("_s"))
     s = F.col("_s")
     again = F.filter(s, lambda x, i: (x["w"] == F.get(s, i - 1)["w"]) | (x["w"] == F.get(s, i + 1)["w"]))
@@ -60,7 +70,7 @@ def _grams(text: Column) -> Column:
 
 
 def _bucket(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(*cols).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
