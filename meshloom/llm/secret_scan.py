@@ -105,8 +105,8 @@ def fold(red: State, blue: State) -> None:
                 r.to[c] = nxt
 
 
-def infer(strings: list[str], alpha: float = 0.01) -> list[tuple[dict[str, tuple[int, float]], float, float]]:
-    """A probabilistic automaton: per state (char -> (next state, log p), log p of another char, log p of the end)."""
+def infer(strings: list[str], alpha: float = 0.01) -> list[tuple[dict[str, tuple[int, float]], float]]:
+    """A probabilistic automaton: per state (char -> (next state, log p), log p of the end)."""
     root = prefix_tree(sorted(strings))
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     red = [root]
@@ -124,43 +124,51 @@ def infer(strings: list[str], alpha: float = 0.01) -> list[tuple[dict[str, tuple
         else:
             red.append(b)
     number = {id(s): k for k, s in enumerate(red)}
-    out = []
-    for s in red:
-        total = s.n + 0.1 * (ALPHABET + 1)
-        out.append(({c: (number[id(s.to[c])], math.log((s.count[c] + 0.1) / total)) for c in s.to}, math.log(0.1 / total), math.log((s.ends + 0.1) / total)))
-    return out
+    return [({c: (number[id(s.to[c])], math.log(s.count[c] / s.n)) for c in s.to}, math.log((s.ends + 0.1) / (s.n + 0.1))) for s in red]
+
+
+NOWHERE = (-1, 0.0)
 
 
 class Formats(NamedTuple):
-    """Automata by kind; the log p of a character after another in ordinary runs; the least score."""
+    """Automata by kind; the log p of each character in ordinary runs; the least score.
 
-    automata: dict[int, list]
+    The ordinary model has no context: what unlabelled credentials the sample holds then hardly
+    moves it, whereas after an odd character only they would tell what follows.
+    """
+
+    automata: dict[int, tuple[list, int]]  # and the shortest labelled credential
     ordinary: dict[str, float]
     unseen: float
     least: float
 
     def score(self, s: str) -> float:
-        """The best format's log likelihood ratio against ordinary runs, for each character."""
+        """The best format's log likelihood ratio against ordinary runs, for each character; minus
+        infinity for a run that no automaton accepts, or that is shorter than all it was learned from."""
         get, unseen = self.ordinary.get, self.unseen
-        plain = sum(get(a, unseen) for a in map("".join, zip("^" + s, s)))
+        plain = sum(get(c, unseen) for c in s)
         best = -math.inf
-        for states in self.automata.values():
+        for states, shortest in self.automata.values():
+            if len(s) < shortest:
+                continue
             at, total = 0, 0.0
             for c in s:
-                arcs, other, _ = states[at]
-                at, p = arcs.get(c, (0, other))
+                at, p = states[at][0].get(c, NOWHERE)
+                if at < 0:
+                    break  # the run leaves the automaton: it isn't of this format
                 total += p
-            best = max(best, total + states[at][2])
+            else:
+                best = max(best, total + states[at][1])
         return (best - plain) / len(s)
 
 
-def fit_formats(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 1_000, background: int = 20_000, margin: float = 0.5, fewest: int = 30) -> Formats:
+def fit_formats(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 1_000, background: int = 20_000, least: float = 1.0, fewest: int = 30) -> Formats:
     """Automata and the ordinary model from a bounded sample of documents.
 
     The sample is the documents whose id hash is 0 modulo (rows / ``sample_docs``); of their
     credentials at most ``per_kind`` of each kind (smallest checksum first) and of the other runs
     at most ``background`` come to the driver. Kinds with fewer than ``fewest`` have no automaton.
-    The least score is the highest of the ordinary runs' scores, plus ``margin``, 1 at least.
+    A run is reported from ``least`` nats for each character on.
     """
     rows = id_text(docs)
     step = max(1, rows.count() // sample_docs)
@@ -184,16 +192,13 @@ def fit_formats(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 1_00
     for kind in range(4):  # top-n of each kind, merged from the partitions' own top-n
         most = background if kind == 3 else per_kind
         got[kind] = [r[0] for r in pool.where(F.col("kind") == kind).orderBy("crc", "s").limit(most).select("s").collect()]
-    pairs, firsts = Counter(), Counter()
-    for s in got[3]:
-        for a, c in zip("^" + s, s):
-            pairs[a + c] += 1
-            firsts[a] += 1
-    ordinary = {k: math.log((n + 0.1) / (firsts[k[0]] + 0.1 * ALPHABET)) for k, n in pairs.items()}
-    formats = Formats({k: infer(got[k]) for k in range(3) if len(got[k]) >= fewest}, ordinary, math.log(1 / (ALPHABET * 10)), math.inf)
+    chars = Counter(c for s in got[3] for c in s)
+    total = sum(chars.values()) + 0.1 * ALPHABET
+    ordinary = {c: math.log((n + 0.1) / total) for c, n in chars.items()}
+    formats = Formats({k: (infer(got[k]), min(map(len, got[k]))) for k in range(3) if len(got[k]) >= fewest}, ordinary, math.log(0.1 / total), math.inf)
     if not formats.automata:
         return formats
-    return formats._replace(least=max([1.0, *(formats.score(s) + margin for s in got[3])]))
+    return formats._replace(least=least)
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], score, least: float) -> list[tuple[int, int, int]]:
