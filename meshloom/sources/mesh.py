@@ -8,12 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meshloom.functions.topology import MeshError
 
-NODES = "node_gid long, x double, y double, z double"
-CELLS = "cell_gid long, ctype byte, nodes array<long>"
-SURFACE = "eid long, ftype byte, nodes array<long>, patch_id int"
-PATCHES = "patch_id int, name string, cgns_type string"
-
-
 @dataclass(frozen=True)
 class Mesh:
     """Global mesh: node coordinates, volume cells, surface elements, patches."""
@@ -35,6 +29,15 @@ class Mesh:
         return replace(self, **tables)
 
 
+# Read with their schemas: a mesh of one part has no halo, and so no file of it.
+LOCAL = {
+    "part_cells": "cell_gid long, local_id int, donor int, ctype byte, volume double, cx double, cy double, cz double, nodes array<long>, part int",
+    "part_nodes": "node_gid long, local_id int, is_owned boolean, x double, y double, z double, part int",
+    "part_faces": "local_id int, owner int, neigh int, owner_gid long, neigh_gid long, nb_part int, patch_id int, lface int, zone int, nodes array<long>, area double, nx double, ny double, nz double, fx double, fy double, fz double, part int",
+    "halo": "nb_part int, direction string, seq int, local_id int, cell_gid long, part int",
+}
+
+
 @dataclass(frozen=True)
 class LocalMesh:
     """The partitioned mesh: each table has a column ``part``, by which it is stored."""
@@ -51,7 +54,7 @@ class LocalMesh:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, part: int | None = None) -> LocalMesh:
-        tables = [spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)]
+        tables = [spark.read.schema(LOCAL[f.name]).parquet(f"{path}/{f.name}") for f in fields(cls)]
         if part is not None:
             tables = [t.where(F.col("part") == part) for t in tables]
         return cls(*tables)
