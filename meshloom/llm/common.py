@@ -84,9 +84,14 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def n_partitions(df: DataFrame, target: int = 32 << 20) -> int:
-    """Shuffle partitions for ``df``: the session's number, more if the input is larger."""
+    """Shuffle partitions for ``df``: the session's number, more if the input is larger.
+
+    A plan that doesn't read files has no size; Catalyst then assumes exabytes, which counts as
+    unknown here and leaves the session's number.
+    """
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(1_000_000, plan_bytes(df) // target + 1))
+    size = plan_bytes(df)
+    return conf if size > 1 << 50 else max(conf, min(1_000_000, size // target + 1))
 
 
 def id_text(docs: DataFrame) -> DataFrame:
