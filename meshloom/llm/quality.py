@@ -129,7 +129,11 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -
     ratios = log_ratios(gram_counts(rows, trusted))
     scored = llr_score(base_counts(rows), ratios)
     failed, kept = _verdict(threshold)
-    return scored.select("doc_id", *(F.col(f"_base.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), kept.alias("kept"), F.col("_score").alias("llr"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    # One struct with a row number in it: a filter on any column of the result stays above it, and
+    # isn't pushed below the selects of base_counts (see keep_quality).
+    whole = F.struct("doc_id", *(F.col(f"_base.{c}").alias(c) for c in counts), failed.alias("base_failed"), kept.alias("kept"), F.col("_score").alias("llr"), F.monotonically_increasing_id().alias("n"))
+    return scored.select(whole.alias("r")).select("r.doc_id", *(f"r.{c}" for c in counts), "r.base_failed", "r.kept", "r.llr")
 
 
 def keep_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
