@@ -226,7 +226,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     formats = formats or fit_formats(docs)
 
     def run(batches):
-        score = Cache(formats.score, 200_000).__getitem__
+        score = Cache(formats.score, 50_000).__getitem__
         for b in batches:
             counts, digest, spans = ([], [], []), [], []
             for text in b.column(1).to_pylist():
@@ -260,14 +260,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", formats: Formats | None = No
         return "".join([*out, text[done:]]) if out else text
 
     def run(batches):
-        score = Cache(formats.score, 200_000).__getitem__
-        for b in batches:
-            cols = list(b.columns)
-            old = cols[at].to_pylist()
-            new = [clean(t, score) for t in old]
-            cols[at] = pa.array(new, pa.string())
-            if chars is not None:
-                cols[chars] = pa.array([n if x == y else len(y) for n, x, y in zip(cols[chars].to_pylist(), old, new, strict=True)], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f.name, c.type) for f, c in zip(b.schema, cols, strict=True)]))
+        score = Cache(formats.score, 50_000).__getitem__
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):  # a few texts at a time, old and new
+                b = whole.slice(start, 500)
+                cols = list(b.columns)
+                old = cols[at].to_pylist()
+                new = [clean(t, score) for t in old]
+                cols[at] = pa.array(new, pa.string())
+                if chars is not None:
+                    cols[chars] = pa.array([n if x == y else len(y) for n, x, y in zip(cols[chars].to_pylist(), old, new, strict=True)], cols[chars].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([(f.name, c.type) for f, c in zip(b.schema, cols, strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
