@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -116,3 +117,10 @@ class Cache(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def release_memos() -> None:
+    """Drop what a reused worker keeps of other operators' tokenizers; they are built again when needed."""
+    for module, name in (("meshloom.llm.word_tokens", "word_encoder"), ("meshloom.llm.byte_bpe", "byte_bpe")):
+        if module in sys.modules:
+            getattr(sys.modules[module], name).cache_clear()

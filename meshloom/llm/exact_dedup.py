@@ -19,7 +19,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.llm.common import SPACE_BYTES, Scratch, id_text, n_partitions
+from meshloom.llm.common import SPACE_BYTES, Scratch, id_text, n_partitions, release_memos
 
 LEADER = pa.schema([("bucket", pa.int32()), ("norm", pa.binary()), ("sha", pa.binary()), ("n_chars", pa.int64()), ("lead", pa.int64()), ("members", pa.list_(pa.int64()))])
 LEADER_SQL = "bucket int, norm binary, sha binary, n_chars long, lead long, members array<long>"
@@ -66,6 +66,7 @@ def leaders(docs: DataFrame) -> DataFrame:
     cuts = splitters(rows, buckets)
 
     def fold(batches):
+        release_memos()
         for b in batches:
             groups: dict[bytes, list] = {}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

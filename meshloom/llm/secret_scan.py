@@ -19,7 +19,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.llm.common import Cache, id_text
+from meshloom.llm.common import Cache, id_text, release_memos
 
 # The kinds in order, their patterns, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "format")
@@ -226,6 +226,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     formats = formats or fit_formats(docs)
 
     def run(batches):
+        release_memos()
         score = Cache(formats.score, 50_000).__getitem__
         for b in batches:
             counts, digest, spans = ([], [], []), [], []
@@ -260,6 +261,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", formats: Formats | None = No
         return "".join([*out, text[done:]]) if out else text
 
     def run(batches):
+        release_memos()
         score = Cache(formats.score, 50_000).__getitem__
         for whole in batches:
             for start in range(0, whole.num_rows, 500):  # a few texts at a time, old and new

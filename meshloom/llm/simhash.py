@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from meshloom.llm.common import Scratch, id_text
+from meshloom.llm.common import Scratch, id_text, release_memos
 from meshloom.llm.components import connected_components
 
 BITS, SEGMENT = 64, 2
@@ -58,6 +58,7 @@ def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches):
+        release_memos()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist(), words).view("<i8"))], ["doc_id", "fp"])
 
