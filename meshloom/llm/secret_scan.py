@@ -1,7 +1,7 @@
 """Operator 4: secrets by fixed patterns and by formats inferred from labelled credentials.
 
-The patterns label credentials in a bounded sample of documents. For each kind a prefix tree of
-the labelled strings is generalised by state merging: two states are merged when a Hoeffding
+The patterns label credentials in every document. For each kind a prefix tree of a bounded number
+of the labelled strings is generalised by state merging: two states are merged when a Hoeffding
 test finds no difference in how often strings end or go on with each character, there and in
 all states below. The probabilistic automata then score every candidate run of the corpus
 against a character model of ordinary runs.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from hashlib import sha256
 from typing import NamedTuple
 from zlib import crc32
@@ -19,7 +19,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.llm.common import Cache, id_text, release_memos
+from meshloom.llm.common import Cache, Scratch, id_text, release_memos
 
 # The kinds in order, their patterns, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "format")
@@ -42,10 +42,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def labelled(text: str) -> list[tuple[int, str]]:
-    """(kind, credential) as the fixed patterns label them; for assignments the value alone."""
-    out = [(0, m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE] if ":" in text or "=" in text else []
-    return out + [(k, text[a:b]) for a, k, b in base_spans(text) if k]
+def labelled(text: str, held: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """(kind, credential) as the fixed patterns, whose spans are ``held``, label them; for assignments the value alone."""
+    out = [(0, ASSIGN.match(text, a)[2]) for a, k, _ in held if k == 0]
+    return out + [(k, text[a:b]) for a, k, b in held if k]
+
+
+def ordinary_runs(text: str, held: list[tuple[int, int, int]]):
+    """The candidate runs that overlap none of the fixed patterns' spans."""
+    k = end = 0
+    for m in CANDIDATE.finditer(text):
+        a, z = m.span()
+        while k < len(held) and held[k][0] < z:  # spans and runs both come in order
+            end = max(end, held[k][2])
+            k += 1
+        if end <= a:
+            yield m[0]
 
 
 class State:
@@ -133,7 +145,7 @@ NOWHERE = (-1, 0.0)
 class Formats(NamedTuple):
     """Automata by kind; the log p of each character in ordinary runs; the least score.
 
-    The ordinary model has no context: what unlabelled credentials the sample holds then hardly
+    The ordinary model has no context: what unlabelled credentials the documents hold then hardly
     moves it, whereas after an odd character only they would tell what follows.
     """
 
@@ -162,40 +174,45 @@ class Formats(NamedTuple):
         return (best - plain) / len(s)
 
 
-def fit_formats(docs: DataFrame, sample_docs: int = 20_000, per_kind: int = 1_000, background: int = 20_000, least: float = 1.0, fewest: int = 30) -> Formats:
-    """Automata and the ordinary model from a bounded sample of documents.
+def fit_formats(docs: DataFrame, per_kind: int = 1_000, least: float = 1.0, fewest: int = 30) -> Formats:
+    """Automata and the ordinary model from all documents.
 
-    The sample is the documents whose id hash is 0 modulo (rows / ``sample_docs``); of their
-    credentials at most ``per_kind`` of each kind (smallest checksum first) and of the other runs
-    at most ``background`` come to the driver. Kinds with fewer than ``fewest`` have no automaton.
-    A run is reported from ``least`` nats for each character on.
+    Every document is labelled. Of the different credentials of each kind ``per_kind`` (smallest
+    checksum first, the first 256 characters of each) come to the driver; kinds that have fewer
+    than ``fewest`` in all documents have no automaton. The ordinary model counts the characters
+    of all other runs. A run is reported from ``least`` nats for each character on.
     """
-    rows = id_text(docs)
-    step = max(1, rows.count() // sample_docs)
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    most = max(per_kind, fewest)
 
     def gather(batches):
+        """(kind, checksum, credential), the least of a task; (3, count, character)."""
+        kept: list[set] = [set(), set(), set()]
+        chars: Counter = Counter()
+
+        def least_of(found: set) -> list:
+            return sorted(found)[:most]
+
         for b in batches:
-            found = []
             for text in b.column(1).to_pylist():
-                found += labelled(text)
                 held = base_spans(text)
-                found += [(3, s[0]) for s in CANDIDATE.finditer(text) if not any(x < s.end() and s.start() < y for x, _, y in held)]
-            kept = defaultdict(set)
-            for kind, s in found:
-                kept[kind].add((crc32(s.encode()), s[:256]))
-            rows = [(k, c, s) for k, v in kept.items() for c, s in sorted(v)[: background if k == 3 else per_kind]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "crc", "s"])
-
-    pool = some.mapInArrow(gather, "kind int, crc long, s string").distinct()
-    got: dict[int, list[str]] = defaultdict(list)
-    for kind in range(4):  # top-n of each kind, merged from the partitions' own top-n
-        most = background if kind == 3 else per_kind
-        got[kind] = [r[0] for r in pool.where(F.col("kind") == kind).orderBy("crc", "s").limit(most).select("s").collect()]
-    chars = Counter(c for s in got[3] for c in s)
+                for kind, s in labelled(text, held):
+                    kept[kind].add((crc32(s.encode()), s[:256]))
+                chars.update("".join(ordinary_runs(text, held)))
+                for kind, found in enumerate(kept):
+                    if len(found) > 8 * most:
+                        kept[kind] = set(least_of(found))
+        rows = [(k, c, s) for k, found in enumerate(kept) for c, s in least_of(found)] + [(3, n, c) for c, n in sorted(chars.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "crc", "s"])
+
+    scratch = Scratch(docs.sparkSession, "formats")
+    pool = scratch.put(id_text(docs).mapInArrow(gather, "kind int, crc long, s string"), "pool")
+    # top-n of each kind, merged from the tasks' own top-n
+    got = [[r[0] for r in pool.where(F.col("kind") == kind).select("crc", "s").distinct().orderBy("crc", "s").limit(most).select("s").collect()] for kind in range(3)]
+    chars = {r[0]: r[1] for r in pool.where("kind = 3").groupBy("s").agg(F.sum("crc")).collect()}
+    scratch.drop(pool)
     total = sum(chars.values()) + 0.1 * ALPHABET
     ordinary = {c: math.log((n + 0.1) / total) for c, n in chars.items()}
-    formats = Formats({k: (infer(got[k]), min(map(len, got[k]))) for k in range(3) if len(got[k]) >= fewest}, ordinary, math.log(0.1 / total), math.inf)
+    formats = Formats({k: (infer(some[:per_kind]), min(map(len, some[:per_kind]))) for k, some in enumerate(got) if len(some) >= fewest}, ordinary, math.log(0.1 / total), math.inf)
     if not formats.automata:
         return formats
     return formats._replace(least=least)
@@ -221,7 +238,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
 
     One row per input row, null counts as empty (no spans: empty string, and its digest). Spans
     count code points, ends excluded. Inferred spans have the kind ``format`` and never overlap a
-    fixed one. Other columns are not carried. Narrow apart from the bounded fit.
+    fixed one. Other columns are not carried. Narrow apart from the fit.
     """
     formats = formats or fit_formats(docs)
 

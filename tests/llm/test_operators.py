@@ -219,6 +219,30 @@ def test_inferred_formats(spark):
     assert all("sk_" not in r["text"] for r in clean.values()) and all(clean[d]["text"] == t for d, t in data if d >= 2000)
 
 
+def test_formats_of_a_rare_kind(spark):
+    """40 labels among 60,000 documents are enough for an automaton, wherever they are."""
+    rng = random.Random(10)
+    key = lambda: "sk_" + "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(24))
+    data = [(k, f"token = {key()}" if k % 1500 == 0 else "some internationalisation of words") for k in range(60_000)] + [(60_000, key())]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    formats = secret_scan.fit_formats(df)
+    assert set(formats.automata) == {0}
+    assert secret_scan.secret_spans(df, formats).where("doc_id = 60000").first()["spans"] == "format:0:27"
+    clean = secret_scan.redact(df, formats=formats).where("text LIKE '%sk!_%' ESCAPE '!'")
+    assert clean.isEmpty()
+    assert math.exp(formats.ordinary["i"]) == pytest.approx(4 / 20, abs=0.001)
+
+
+def test_ordinary_runs_overlap_no_span():
+    rng = random.Random(12)
+    bits = ["token=", "a" * 14, "AKIA" + "B" * 16, "0123456789abcdef", " ", "zz/zz+zzzzzzz", "x", "password: "]
+    for _ in range(500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        held = secret_scan.base_spans(t)
+        expected = [m[0] for m in secret_scan.CANDIDATE.finditer(t) if not any(x < m.end() and m.start() < y for x, _, y in held)]
+        assert list(secret_scan.ordinary_runs(t, held)) == expected
+
+
 def test_state_merging():
     states = secret_scan.infer(["ab" * k for k in range(1, 40)] * 20)
     assert len(states) <= 4  # a loop over a, b
