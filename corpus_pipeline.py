@@ -19,14 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id, stays."""
-    return keep.without(docs, exact_dedup.exact_dedup(docs), "kept", "exact_stage")
+    """Of equal texts the longest original, then the smallest id, stays: one row of each content."""
+    decided = exact_dedup.exact_dedup(docs).withColumnRenamed("text_sha256", "key")
+    return keep.without_rows(docs, exact_dedup.content_digest(F.col("text")), decided, "exact_stage")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every SimHash component the smallest id stays."""
-    found = simhash.simhash_components(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return keep.without(docs, found, "kept", "near_stage")
+    """Of every SimHash component the smallest id stays, a row without an id where none has one."""
+    return keep.without_rows(docs, simhash.text_digest(F.col("text")), simhash.simhash_keepers(docs), "near_stage")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

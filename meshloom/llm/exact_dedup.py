@@ -17,9 +17,9 @@ from bisect import bisect_left, bisect_right
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from meshloom.llm.common import SPACE_BYTES, Scratch, id_text, n_partitions, release_memos
+from meshloom.llm.common import SPACE, SPACE_BYTES, Scratch, id_text, n_partitions, release_memos
 
 LEADER = pa.schema([("bucket", pa.int32()), ("norm", pa.binary()), ("sha", pa.binary()), ("n_chars", pa.int64()), ("lead", pa.int64()), ("members", pa.list_(pa.int64()))])
 LEADER_SQL = "bucket int, norm binary, sha binary, n_chars long, lead long, members array<long>"
@@ -30,6 +30,11 @@ def normalise(text: str) -> bytes:
     return text.encode().translate(None, SPACE_BYTES)
 
 
+def content_digest(text: Column) -> Column:
+    """``text_sha256`` of a text."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), SPACE, ""), 256)
+
+
 def _key(norm: bytes, sha: bytes) -> bytes:
     return norm[:HEAD].ljust(HEAD, b"\0") + sha[:8]
 

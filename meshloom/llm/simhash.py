@@ -54,15 +54,18 @@ def fingerprints(texts: list[str], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprint_table(docs: DataFrame, words: int = 3, key: Column | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row; also ``key``, a string, where given."""
+    more = [] if key is None else ["key"]
 
     def run(batches):
         release_memos()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist(), words).view("<i8"))], ["doc_id", "fp"])
+            fp = pa.array(fingerprints(b.column(1).to_pylist(), words).view("<i8"))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_text(docs) if key is None else id_text(docs).withColumn("key", key)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key string" * len(more))
 
 
 def _masks() -> list[int]:
@@ -195,3 +198,27 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     point_component = points.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return prints.join(point_component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def simhash_keepers(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, key (``text_digest``), kept: the decision on every row.
+
+    Of every component the row with the smallest id stays (null ids last); where that id has
+    several texts in the component, the one with the least fingerprint, then digest. Rows with the
+    same id and text share their decision.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash_keep")
+    prints = scratch.put(fingerprint_table(docs, words, text_digest(F.col("text"))), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "fp", "key")
+    points = scratch.put(prints.groupBy("fp").agg(F.min(first).alias("first")), "points")
+    roots = scratch.put(connected_components(scratch.put(links(points.select("fp"), scratch), "near")), "roots")
+    linked = roots.join(points, roots.node == points.fp).select("fp", "root", "first")
+    winners = linked.groupBy("root").agg(F.min("first").alias("first"))
+    lost = linked.select("fp", "root").join(winners, "root").where("fp <> first.fp").select("fp")
+    lead = points.join(lost, "fp", "left_anti").select("fp", "first")
+    kept = F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    return prints.join(lead, "fp", "left").select("doc_id", "key", F.coalesce(kept, F.lit(False)).alias("kept"))

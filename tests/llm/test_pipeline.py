@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, and what they keep."""
 
+import random
+
 import corpus_pipeline
 import duckdb
 import pytest
@@ -52,6 +54,31 @@ def test_near_stage(stages):
     assert set(texts(stages[3])) == set(components(sorted(pairs)).values())
 
 
+def by_row(rows_):
+    return sorted(rows_, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_rows_are_decided_on_apart(spark, monkeypatch, small):
+    """Ids that repeat with other texts, and rows without an id."""
+    monkeypatch.setattr(corpus_pipeline.keep, "SMALL", small)
+    rng = random.Random(6)
+    say = lambda: " ".join(str(rng.getrandbits(40)) for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    near = lambda t: t.upper() + " "
+    data = [(1, a), (1, b), (1, c), (2, c), (7, a), (7, d), (None, a), (None, e), (None, e), (None, e + " "), (3, d), (3, d)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in data], "doc_id long, text string, odd_key int").repartition(5)
+    exact = corpus_pipeline.exact_duplicates(spark, df, "")
+    assert exact.columns == df.columns
+    assert by_row(tuple(r) for r in exact.collect()) == by_row((i, t, len(t)) for i, t in [(1, a), (1, b), (1, c), (3, d), (None, e + " ")])
+    g = say()
+    data = [(1, a), (1, b), (1, near(b)), (4, near(a)), (None, near(b) + "\n"), (None, g), (None, g), (None, near(g)), (5, c), (5, c)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, fp int").repartition(5)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"].lower().split()) for r in got.collect()) == sorted((i, t.split()) for i, t in [(1, a), (1, b), (0, g), (5, c)])
+
+
 def test_secret_stage(stages):
     before, after = texts(stages[3]), texts(stages[4])
     assert set(before) == set(after)
