@@ -36,23 +36,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
     def run(batches):
         enc = word_encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for j, s in enumerate(range(0, len(ids), width)):
-                        cut = ids[s : s + width]
-                        row.append(k)
-                        piece.append(j)
-                        start.append(s // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
+            for first, ids, at in enc.blocks(b.column(1)):
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))  # with every text's end id
+                n = np.diff(at)
+                cuts = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                a, data = (at[row] + start) * 4, memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[x:z]) for x, z in zip(a.tolist(), (a + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [b.column(0).take(pa.array(row + first)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meshloom.llm.common import Scratch, id_text, n_partitions
 from meshloom.llm.word_tokens import word_encoder
 
-BATCH = 256  # sequences in a record batch
+BATCH = 256  # sequences in every record batch but the last one of a shard
 
 
 class TokenFiles(NamedTuple):
@@ -59,28 +59,27 @@ class _ShardWriter:
         self.parts[what] = (temp, sink, w := pa.ipc.new_file(sink, schema))
         return w
 
-    def add(self, doc_ids: pa.Array, streams: list[np.ndarray]) -> None:
-        n = np.array([len(s) for s in streams], np.int64)
+    def add(self, doc_ids: pa.Array, flat: np.ndarray, n: np.ndarray) -> None:
+        """Documents of ``n`` ids each, one after another in ``flat``."""
         starts = self.n_tokens + np.cumsum(n) - n
         self.doc.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(n)], ["doc_id", "start", "n_tokens"]))
         self.n_docs += len(n)
-        self.n_tokens += int(n.sum())
-        flat = np.concatenate([self.left, *streams]) if streams else self.left
-        whole = len(flat) // self.seq_len
+        self.n_tokens += len(flat)
+        flat = np.concatenate([self.left, flat])
         step = BATCH * self.seq_len
-        for at in range(0, whole * self.seq_len, step):
-            some = flat[at : min(at + step, whole * self.seq_len)]
-            self._write(some, np.ones(len(some), bool))
-        self.left = flat[whole * self.seq_len :].copy()
+        whole = len(flat) // step * step
+        for at in range(0, whole, step):
+            self._write(flat[at : at + step], np.ones(step, bool))
+        self.left = flat[whole:].copy()
 
     def _write(self, flat: np.ndarray, mask: np.ndarray) -> None:
         self.seq.write_batch(pa.RecordBatch.from_arrays([_fixed(flat, self.kind, self.seq_len), _fixed(mask, pa.bool_(), self.seq_len)], schema=self.schema))
 
     def close(self) -> None:
-        if len(self.left):
-            pad = np.zeros(self.seq_len, self.dtype)
-            pad[: len(self.left)] = self.left
-            self._write(pad, np.arange(self.seq_len) < len(self.left))
+        if n := len(self.left):
+            padded = np.zeros(-(-n // self.seq_len) * self.seq_len, self.dtype)
+            padded[:n] = self.left
+            self._write(padded, np.arange(len(padded)) < n)
         for what, (temp, sink, w) in self.parts.items():
             w.close()
             sink.close()
@@ -101,15 +100,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, seq_len: int
     def run(batches):
         enc, writer = word_encoder(tokenizer), None
         dtype = "<u2" if max(enc.n_ids, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], dtype)
         shard = TaskContext.get().partitionId()
         for b in batches:
             if not b.num_rows:
                 continue
             writer = writer or _ShardWriter(folder, shard, seq_len, dtype)
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                writer.add(part.column(0), [np.concatenate([np.frombuffer(x, "<u4").astype(dtype), end]) for x in enc.encode(part.column(1).to_pylist())])
+            for first, ids, at in enc.blocks(b.column(1)):
+                writer.add(b.column(0).slice(first, len(at) - 1), np.insert(ids.astype(dtype), at[1:], end_id), np.diff(at) + 1)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, writer.n_docs, writer.n_tokens)], ["shard", "n_docs", "n_tokens"])
@@ -175,13 +172,9 @@ def read_shard(folder: str, shard: int, base: int):
 
 def sequence(files: TokenFiles, shard: int, row: int) -> tuple[np.ndarray, np.ndarray]:
     """One sequence and its mask by random access."""
-    f, at = open_file(files.folder, shard, "seq"), row
-    for i in range(f.num_record_batches):
-        b = f.get_batch(i)
-        if at < b.num_rows:
-            break
-        at -= b.num_rows
-    else:
+    f = open_file(files.folder, shard, "seq")
+    k, at = divmod(row, BATCH)  # all record batches but the last have BATCH rows
+    if row < 0 or k >= f.num_record_batches or at >= (b := f.get_batch(k)).num_rows:
         raise IndexError(f"shard {shard} has no sequence {row}")
     return b.column(0)[at].values.to_numpy(zero_copy_only=True), b.column(1)[at].values.to_numpy(zero_copy_only=False)
 
