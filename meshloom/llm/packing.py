@@ -1,12 +1,13 @@
 """Operator 3: best-fit packing of token pieces by a distributed grouping genetic algorithm.
 
 Pieces are dealt by hash into blocks of bounded size. Every block is evolved on several
-islands at once; a chromosome is a packing, its genes are whole bins. Crossover injects
-well-filled bins of one parent into the other, drops the bins that hold an injected piece a
-second time, and best-fits the displaced pieces. Between epochs the best packing of each island
-moves to the next island. Bins that are left poorly filled in their block are opened, and their
-pieces dealt into new blocks with those of other blocks, round by round, until one block
-holds them all; so the loss of a block's last bin doesn't grow with the number of blocks.
+islands at once; a chromosome is a packing, its genes are whole bins. An island starts from
+best fits of random orders. Crossover injects well-filled bins of one parent into the other,
+drops the bins that hold an injected piece a second time, and best-fits the displaced pieces;
+mutation opens some of the bins that aren't full. Between epochs the best packing of each island
+moves to the next island. The better filled bins of a round are closed; the others are opened, and
+their pieces dealt into fewer blocks with those of other blocks, round by round, until one block
+holds them all; so the loss of a block's last bins doesn't grow with the number of blocks.
 """
 
 from __future__ import annotations
@@ -110,73 +111,86 @@ class Packing:
         return cls(cap, size, [b for b in bins if b])
 
 
-def cross(rng: random.Random, mother: Packing, father: Packing, share: float) -> Packing:
+def cross(rng: random.Random, mother: Packing, father: Packing, share: float, mutation: float = 0.25) -> Packing:
     """Inject a share of the father's well-filled bins into the mother."""
     order = sorted(range(len(father.bins)), key=lambda b: (-father.fill[b], b))
     full = order[: max(1, len(order) // 2)]
     chosen = rng.sample(full, max(1, int(len(full) * share)))
-    injected = {x for b in chosen for x in father.bins[b]}
+    injected = set().union(*(father.bins[b] for b in chosen))
     kept, displaced = [], []
-    for b in mother.bins:
+    for f, b in zip(mother.fill, mother.bins, strict=True):
         if injected.isdisjoint(b):
-            kept.append(b)
+            kept.append((f, b))
         else:
             displaced += [x for x in b if x not in injected]
-    child = Packing(mother.cap, mother.size, [*map(list, kept), *(list(father.bins[b]) for b in chosen)])
-    # Mutation: the emptiest bins are opened too, so that their pieces can find closer fits.
-    worst = sorted(range(len(child.bins)), key=lambda b: (child.fill[b], b))[: 1 + len(child.bins) // 50]
-    gone = set(worst)
-    displaced += [x for b in worst for x in child.bins[b]]
-    child.bins = [b for k, b in enumerate(child.bins) if k not in gone]
-    child.fill = [f for k, f in enumerate(child.fill) if k not in gone]
+    # Mutation: the emptiest bins, and some that aren't full, are opened too, so that their pieces can find closer fits.
+    kept.sort(key=lambda x: x[0])
+    emptiest = 1 + int(len(kept) * mutation * rng.random())
+    child = Packing(mother.cap, mother.size)
+    for k, (f, b) in enumerate(kept):
+        if k < emptiest or f < mother.cap and rng.random() < mutation:
+            displaced += b
+        else:
+            child.bins.append(list(b))
+            child.fill.append(f)
+    child.bins += [list(father.bins[b]) for b in chosen]
+    child.fill += [father.fill[b] for b in chosen]
     child.best_fit(sorted(displaced, key=lambda x: (-child.size[x], x)))
     return child
 
 
-def evolve(size: list[int], cap: int, population: list[np.ndarray], wanted: int, generations: int, seed: int) -> list[np.ndarray]:
-    """One epoch on one island; the population comes back best first.
+def evolve(size: list[int], cap: int, population: list[np.ndarray], wanted: int, generations: int, seed: int) -> tuple[list[np.ndarray], int, int]:
+    """One epoch on one island: the population, best first; the fewest bins before it; the crossovers made.
 
-    An island rests as soon as its best packing has as few bins as the tokens need at all.
+    An empty population is made of best fits of random orders. An island rests as soon as its best
+    packing can't be better: all bins but one are full.
     """
     rng = random.Random(seed)
     folk = [Packing.of(cap, size, g) for g in population]
     while len(folk) < wanted:
-        noise = 0.25 * len(folk)  # the first one is best fit in order of falling length
-        key = {x: size[x] * (1 + noise * (rng.random() - 0.5)) for x in range(len(size))}
-        p = Packing(cap, size)
-        p.best_fit(sorted(range(len(size)), key=lambda x: (-key[x], x)))
+        p, order = Packing(cap, size), list(range(len(size)))
+        rng.shuffle(order)
+        p.best_fit(order)
         folk.append(p)
-    least = -(-sum(size) // cap)
-    for _ in range(generations):
-        folk.sort(key=Packing.score, reverse=True)
-        if len(folk[0].bins) <= least:
-            break
-        for k in range(len(folk) // 2, len(folk)):  # the better half has children in place of the worse
-            a, b = rng.sample(folk[: max(2, len(folk) // 2)], 2)
-            folk[k] = cross(rng, a, b, rng.uniform(0.2, 0.6))
     folk.sort(key=Packing.score, reverse=True)
-    return [p.genes() for p in folk]
+    before, crossed = len(folk[0].bins), 0
+    for _ in range(generations if len(folk) > 1 else 0):
+        if sum(f < cap for f in folk[0].fill) <= 1:
+            break
+        better = max(2, len(folk) // 2)
+        for k in range(better if len(folk) > 2 else 1, len(folk)):  # the better half has children in place of the worse
+            folk[k] = cross(rng, *rng.sample(folk[:better], 2), rng.uniform(0.2, 0.6))
+            crossed += 1
+        folk.sort(key=Packing.score, reverse=True)
+    return [p.genes() for p in folk], before, crossed
 
 
-STATE = "block long, island int, n_bins int, items binary, folk binary"
+STATE = "block long, island int, n_bins int, first_bins int, crossed int, items binary, folk binary, best binary"
+STATE_NAMES = [c.split(" ")[0] for c in STATE.split(", ")]
 
 
-def _state(block, island, items: np.ndarray, folk: list[np.ndarray]) -> dict:
-    return {"block": block, "island": island, "n_bins": int(folk[0].max(initial=-1)) + 1, "items": items.tobytes(), "folk": np.stack(folk).astype("<i4").tobytes()}
+def _state(block: int, island: int, items: np.ndarray, evolved: tuple, first_bins: int | None = None, crossed: int = 0) -> dict:
+    folk, before, now = evolved
+    values = (block, island, int(folk[0].max(initial=-1)) + 1, before if first_bins is None else first_bins, crossed + now, items.tobytes(), np.stack(folk).tobytes(), folk[0].tobytes())
+    return dict(zip(STATE_NAMES, values, strict=True))
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islands: int = 2, population: int = 4, generations: int = 6, epochs: int = 2, seed: int = 7, poor: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islands: int = 2, population: int = 6, generations: int = 5, epochs: int = 3, seed: int = 7, poor: int = 64, report: list | None = None) -> DataFrame:
     """Pack pieces into sequences of at most ``capacity`` tokens.
 
-    ``pieces`` is the table of ``token_pieces``; every row comes back once, with sequence_id and
-    offset (gapless from 0 in its sequence). A bin with more than ``poor`` free tokens is opened
-    again in the next round while several blocks are left. An empty table gives no rows; null
-    and repeated ids are rows like others. A block is bounded by ``block_items`` on average,
-    however many copies share a length, since it is chosen by the hash of all columns.
+    ``pieces`` is the table of ``token_pieces``, written (it is read more than once); every row
+    comes back once, with sequence_id and offset (gapless from 0 in its sequence). After each
+    round the bins with at most ``poor`` free tokens are closed, twice as many free tokens in every
+    next round; the pieces of the others go on until one block holds them all, and with them
+    those of full bins without a large piece, as many as the others have room for. An empty table gives no rows; null and repeated ids are rows like others. A block has
+    ``block_items`` rows on average, however many rows are equal, since rows are dealt by their
+    place in the table. ``report``, a list, gets for each round the blocks, the fewest bins the
+    tokens need by block, the bins of the first populations' best, the bins in the end, and the
+    crossovers made.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    left, done, n_before = pieces, None, None
+    left, done = pieces, None
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
@@ -186,8 +200,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islan
         for to, of in (("piece", "piece"), ("start", "start"), ("length", "length"), ("crc", "ids_crc32")):
             items[to] = pdf[of]
         block, island = int(pdf["block"].iloc[0]), int(pdf["island"].iloc[0])
-        folk = evolve(items["length"].tolist(), capacity, [], population if islands * population > 1 else 1, generations, hash((seed, block, island, 0)))
-        return pd.DataFrame([_state(block, island, items, folk)])
+        return pd.DataFrame([_state(block, island, items, evolve(items["length"].tolist(), capacity, [], population, generations, hash((seed, block, island, 0))))])
 
     def again(batches):
         for pdf in batches:
@@ -195,16 +208,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islan
             for r in pdf.itertuples(index=False):
                 items = np.frombuffer(r.items, ITEM)
                 folk = list(np.frombuffer(r.folk, "<i4").reshape(-1, len(items)))
-                if r.guest is not None:
-                    folk[-1] = np.frombuffer(r.guest, "<i4")[: len(items)]
-                rows.append(_state(r.block, r.island, items, evolve(items["length"].tolist(), capacity, folk, len(folk), generations, hash((seed, r.block, r.island, 1 + r.epoch)))))
-            yield pd.DataFrame(rows, columns=["block", "island", "n_bins", "items", "folk"])
+                if r.guest is not None and len(folk) > 1:
+                    folk[-1] = np.frombuffer(r.guest, "<i4")
+                evolved = evolve(items["length"].tolist(), capacity, folk, len(folk), generations, hash((seed, r.block, r.island, r.epoch)))
+                rows.append(_state(r.block, r.island, items, evolved, r.first_bins, r.crossed))
+            yield pd.DataFrame(rows, columns=STATE_NAMES)
 
     def unpack(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 items = np.frombuffer(r.items, ITEM)
-                bins = np.frombuffer(r.folk, "<i4")[: len(items)].astype("i8")
+                bins = np.frombuffer(r.best, "<i4").astype("i8")
                 order = np.lexsort((np.arange(len(items)), bins))
                 items, bins = items[order], bins[order]
                 length = items["length"].astype("i8")
@@ -212,39 +226,50 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islan
                 first = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.zeros(0, bool)
                 base = (ends - length)[first]
                 k = np.cumsum(first) - 1
-                fill = np.add.reduceat(length, np.flatnonzero(first))[k]
+                heads = np.flatnonzero(first)
+                fill, largest = np.add.reduceat(length, heads)[k], np.maximum.reduceat(length, heads)[k]
                 yield pd.DataFrame({
                     "doc_id": pd.array(np.where(items["null"], 0, items["doc_id"]), dtype="Int64"), "piece": items["piece"], "start": items["start"], "length": length, "ids_crc32": items["crc"].astype("i8"),
-                    "sequence_id": (np.int64(r.block) << 24) | bins, "offset": ends - length - base[k], "fill": fill,
+                    "sequence_id": (np.int64(r.block) << 24) | bins, "offset": ends - length - base[k], "fill": fill, "largest": largest,
                 }).assign(doc_id=lambda d, n=items["null"]: d["doc_id"].mask(n))
 
-    for rnd in range(64):
-        n = left.count()
-        if not n:
-            break
+    n, rnd = left.count(), 0
+    while n:
         blocks = -(-n // block_items)
-        if n_before is not None and n > n_before // 2:
-            blocks_done = True  # opening bins no longer pays: keep what this round gives
-        else:
-            blocks_done = blocks == 1
-        dealt = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + rnd), *left.columns), F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+        place = F.xxhash64(F.lit(seed + rnd), F.monotonically_increasing_id())  # of a written table's row: the same when read again
+        dealt = left.withColumn("block", F.pmod(place, F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
         state = scratch.put(dealt.groupBy("block", "island").applyInPandas(begin, STATE), f"state{rnd}")
         for epoch in range(1, epochs):
-            elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("folk").alias("guest"))
+            elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("guest"))
             moved = state.join(elite, ["block", "island"], "left").withColumn("epoch", F.lit(epoch))
             newer = scratch.put(moved.mapInPandas(again, STATE), f"state{rnd}-{epoch}")
             scratch.drop(state)
             state = newer
-        best = state.groupBy("block").agg(F.min_by(F.struct("items", "folk"), F.struct("n_bins", "island")).alias("s")).select("block", "s.items", "s.folk")
-        placed = scratch.put(best.mapInPandas(unpack, OUT_SCHEMA + ", fill long"), f"placed{rnd}")
+        best = state.groupBy("block").agg(F.min_by(F.struct("items", "best"), F.struct("n_bins", "island")).alias("s")).select("block", "s.items", "s.best")
+        placed = scratch.put(best.mapInPandas(unpack, OUT_SCHEMA + ", fill long, largest long"), f"placed{rnd}")
+        if report is not None:
+            least = placed.groupBy(F.shiftright("sequence_id", 24)).agg(F.ceil(F.sum("length") / capacity).alias("n")).agg(F.sum("n")).first()[0]
+            per_block = state.groupBy("block").agg(F.min("first_bins").alias("f"), F.min("n_bins").alias("n"), F.sum("crossed").alias("c"))
+            report.append((blocks, least, *per_block.agg(F.sum("f"), F.sum("n"), F.sum("c")).first()))
         scratch.drop(state)
-        keep = placed if blocks_done else placed.where(F.col("fill") >= capacity - poor)
+        if blocks == 1:
+            closed, left = placed, None
+        else:
+            # Bins of small pieces alone are opened as well, as far as the poor bins' free space can take them.
+            is_poor = F.col("fill") < capacity - (poor << rnd)
+            bins = placed.where("offset = 0").groupBy(is_poor.alias("poor"), "largest").agg(F.sum("fill"), F.sum(capacity - F.col("fill")))
+            bins = sorted(map(tuple, bins.collect()))  # two rows for each length of a piece
+            room, small = sum(r[3] for r in bins if r[0]), 0
+            for _, largest, tokens, _ in (r for r in bins if not r[0]):
+                if (room := room - tokens) < 0:
+                    break
+                small = largest
+            opened = is_poor | (F.col("largest") <= small)
+            closed, left = placed.where(~opened), placed.where(opened).select(*[c.split(" ")[0] for c in PIECE_SCHEMA.split(", ")])
         # A round owns a range of sequence ids: block and bin take the lower bits.
-        keep = keep.drop("fill").withColumn("sequence_id", F.col("sequence_id") + F.lit(rnd << 56))
-        done = keep if done is None else done.unionByName(keep)
-        if blocks_done:
-            break
-        left, n_before = placed.where(F.col("fill") < capacity - poor).select(*[c.split(" ")[0] for c in PIECE_SCHEMA.split(", ")]), n
+        closed = closed.drop("fill", "largest").withColumn("sequence_id", F.col("sequence_id") + F.lit(rnd << 56))
+        done = closed if done is None else done.unionByName(closed)
+        n, rnd = left.count() if left is not None else 0, rnd + 1
     return done if done is not None else spark.createDataFrame([], OUT_SCHEMA)
 
 

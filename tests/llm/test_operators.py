@@ -173,13 +173,46 @@ def test_packing_over_blocks(spark, lengths):
 def test_crossover_keeps_every_item():
     rng = random.Random(2)
     size = [rng.randint(1, 40) for _ in range(120)]
-    folk = packing.evolve(size, 100, [], 4, 0, 1)
+    folk, _, _ = packing.evolve(size, 100, [], 4, 0, 1)
     a, b = (packing.Packing.of(100, size, g) for g in folk[:2])
     child = packing.cross(rng, a, b, 0.5)
     assert sorted(x for c in child.bins for x in c) == list(range(120))
     assert child.fill == [sum(size[x] for x in c) for c in child.bins] and max(child.fill) <= 100
 
 
+def test_crossover_decides():
+    """Pieces that best fit in falling order packs badly: the generations find fewer bins than it, and
+    than the population they began with."""
+    rng = random.Random(3)
+    for lengths, cap in ((lambda: rng.randint(1000, 2000), 4096), (lambda: rng.randint(250, 500), 1000)):
+        size = [lengths() for _ in range(900)]
+        falling = packing.Packing(cap, size)
+        falling.best_fit(sorted(range(len(size)), key=lambda x: -size[x]))
+        folk, before, crossed = packing.evolve(size, cap, [], 8, 12, 1)
+        best = packing.Packing.of(cap, size, folk[0])
+        assert max(best.fill) <= cap and sorted(x for b in best.bins for x in b) == list(range(900))
+        assert crossed > 0 and len(best.bins) < before and len(best.bins) < len(falling.bins)
+
+
+def test_packing_evolves_and_migrates(spark, sf_dir):
+    """On the given documents the islands cross, and end at the fewest bins the tokens need, but for one."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces, report = Scratch(spark, "t").put(packing.token_pieces(df, WORDS), "p"), []
+    got = packing.pack(pieces, block_items=100, report=report).collect()
+    blocks, least, first, last, crossed = report[0]
+    assert blocks > 1 and crossed > 0 and last <= first
+    assert check_packing(got, 4096) <= math.ceil(sum(r["length"] for r in got) / 4096) + 1
+
+
+def test_packing_equal_rows(spark):
+    """Rows that are equal in all columns, ids missing, are still dealt over all blocks."""
+    rows_ = [(None, 0, 0, 1, 5)] * 3000 + [(k, 0, 0, 4000, 1) for k in range(20)]
+    report = []
+    got = packing.pack(spark.createDataFrame(rows_, packing.PIECE_SCHEMA).repartition(4), block_items=500, report=report).collect()
+    assert len(got) == 3020 and report[0][0] == 7
+    assert check_packing(got, 4096) <= 21
+
+
 # -- 4
 
 def test_secret_base(docs, none, plain):
