@@ -1,4 +1,4 @@
-"""Take the documents, or the rows, that an operator decided against out of a table."""
+"""Take the rows that an operator decided against out of a table."""
 
 from __future__ import annotations
 
@@ -8,27 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshloom.llm.common import Scratch
 
-SMALL = 1_000_000  # ids up to this count are broadcast (some 24 MB), more are joined by shuffle
-
-
-def without(docs: DataFrame, decisions: DataFrame, kept: str, name: str) -> DataFrame:
-    """``docs`` without the ids of which ``decisions`` (doc_id and the boolean ``kept``) keeps no row.
-
-    All columns of ``docs`` come back in their order, whatever their names. Rows without an id
-    can't be decided on by id: they stay. Where an id that has been decided on repeats, one of its
-    rows stays.
-    """
-    scratch = Scratch(docs.sparkSession, name)
-    per_id = decisions.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(kept).alias("kept"), F.count("*").alias("n"))
-    odd = scratch.put(per_id.where("NOT kept OR n > 1"), "odd")
-    gone, twice = odd.where("NOT kept").select("doc_id"), odd.where("kept AND n > 1").select("doc_id")
-    if odd.count() <= SMALL:
-        gone, twice = F.broadcast(gone), F.broadcast(twice)
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not odd.where("kept AND n > 1").isEmpty():
-        once = out.join(twice, "doc_id", "left_anti").select(docs.columns)
-        out = once.unionByName(out.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return out
+SMALL = 1_000_000  # keys up to a third of this count are broadcast (some 32 MB), more are joined by shuffle
 
 
 def without_rows(docs: DataFrame, key: Column, decisions: DataFrame, name: str) -> DataFrame:

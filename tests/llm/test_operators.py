@@ -321,12 +321,36 @@ def test_exact_dedup_hot_key(spark):
     assert sum(r["kept"] for r in got.values()) == 101
 
 
+def test_exact_dedup_is_decided_by_neighbours(spark, monkeypatch):
+    """Equal digests don't make texts equal; without the sort, equal texts stay apart."""
+    data = [(k, f"text {k % 50}" + " " * (k % 3)) for k in range(300)] + [(k, "hot") for k in range(300, 500)] + [(None, "hot")] * 20
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+
+    def answer():
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+        try:
+            return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()), key=str)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    groups = defaultdict(list)
+    for d, t in data:
+        groups[squeeze(t)].append((-len(t), d is None, d or 0, d))
+    right = sorted(((d, min(g)[3], len(g), d == min(g)[3]) for g in groups.values() for *_, d in g), key=str)
+    assert answer() == right
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "sha256", lambda _: hashlib.sha256(b""))
+        assert answer() == right
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *a, **b: self)
+    assert answer() != right
+
+
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "x y"), (1, "x y"), (2, "xy"), (2, "xy"), (None, "xy")], "doc_id long, text string")
     got = exact_dedup.exact_dedup(df)
     assert got.count() == 5 and {r["keep_id"] for r in got.collect()} == {1} and got.first()["group_size"] == 5
-    left = keep.without(df, got, "kept", "t").collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in left) == [(False, 1), (True, None)]
+    left = keep.without_rows(df, exact_dedup.content_digest(F.col("text")), got.withColumnRenamed("text_sha256", "key"), "t").collect()
+    assert [tuple(r) for r in left] == [(1, "x y")]
 
 
 # -- 6
