@@ -276,6 +276,81 @@ def test_ordinary_runs_overlap_no_span():
         assert list(secret_scan.ordinary_runs(t, held)) == expected
 
 
+def test_scores_by_hand():
+    """60 keys K1 or K2: the probabilities of each path, of characters not seen, and of other lengths."""
+    f = secret_scan.Formats({0: secret_scan.infer(["K1", "K2"] * 30)}, {"K": math.log(0.5), "1": math.log(0.25)}, math.log(0.01), 1.0)
+    log = lambda *x: sum(map(math.log, x))
+    assert f.score("K1") == pytest.approx((log(60 / 61, 30 / 62) - log(0.5, 0.25)) / 2)
+    assert f.score("K7") == pytest.approx((log(60 / 61, 2 / 8 / 62) - log(0.5, 0.01)) / 2)
+    assert f.score("L1") == pytest.approx((log(1 / 25 / 61, 30 / 62) - max(log(0.01, 0.25), log(0.01, 0.25, 0.01))) / 2)
+    assert [f.score(s) for s in ("K", "K11", "k1", "KK", "")] == [-math.inf] * 5
+
+
+def some_keys(rng):
+    import string
+
+    some = string.ascii_letters + string.digits
+    pick = lambda n, v=some: "".join(rng.choice(v) for _ in range(n))
+    return {
+        "ghp": lambda: "ghp_" + pick(36), "sk": lambda: "sk_live_" + pick(24), "gk": lambda: "GKza" + pick(35, some + "-_"),
+        "two": lambda: "xox-" + pick(rng.randint(10, 14), string.digits) + "-" + pick(24, string.ascii_lowercase + string.digits),
+    }
+
+
+def test_automata_are_distributions():
+    """Over all strings the probabilities add up to one."""
+    rng = random.Random(14)
+    keys = [k() for k in some_keys(rng).values() for _ in range(100)]
+    states = secret_scan.infer(keys)
+    mass, total = np.eye(len(states))[0], 0.0
+    step = np.zeros((len(states), len(states)))
+    for i, (to, _) in enumerate(states):
+        for j, p in to.values():
+            step[i, j] += math.exp(p)
+    ends = np.array([math.exp(p) for _, p in states])
+    for _ in range(500):
+        total += mass @ ends
+        mass = mass @ step
+    # what is missing runs into states that lead nowhere, or still goes on
+    assert 0.9 < total + mass.sum() <= 1 + 1e-9
+    assert all(abs(step[i].sum() + ends[i] - 1) < 1e-9 for i in range(len(states)) if ends[i] > 0 or states[i][0])
+
+
+def test_planted_keys(sf_dir):
+    """Keys of four formats that no keyword names: recall and precision in the given documents."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(15)
+    prose = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    kinds = some_keys(rng)
+    labelled = [k() for k in kinds.values() for _ in range(250)]
+    chars = secret_scan.Counter("".join(r for t in prose for r in secret_scan.ordinary_runs(t, secret_scan.base_spans(t))))
+    n = sum(chars.values())
+    f = secret_scan.Formats({0: secret_scan.infer(labelled)}, {c: math.log(k / n) for c, k in chars.items()}, math.log(0.1 / n), 1.0)
+
+    def found(t):
+        return {t[a:z] for a, k, z in secret_scan.all_spans(t, secret_scan.base_spans(t), f.score, f.least) if k == 3}
+
+    assert not any(map(found, prose))
+    for k in kinds.values():
+        keys = [k() for _ in range(300)]
+        assert sum(found(f"as in {x}, see") == {x} for x in keys) >= 270
+        assert sum(found(f"see https://a.b/url={x}&c") == {x} for x in keys) >= 270
+        assert sum(bool(found(x[:-6])) or bool(found(x + "aB3x")) for x in keys) <= 30  # of another length
+
+
+def test_length_and_separators():
+    rng = random.Random(16)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(1000)]
+    f = secret_scan.Formats({1: secret_scan.infer(keys[:900])}, {c: math.log(0.2) for c in "etaon"}, math.log(1e-4), 1.0)
+    assert all(f.score(k) >= 1 for k in keys)
+    assert {f.score(s) for s in ("AKIAX", keys[0][:-1], keys[0] + "A", keys[0] + "A" * 44)} == {-math.inf}
+    t = f"a/{keys[901]}.b={keys[902]}/{keys[903]} {keys[904]}+x"
+    spans = [t[a:z] for a, _, z in secret_scan.all_spans(t, [], f.score, 1.0)]
+    assert spans == keys[901:905]
+    assert secret_scan.all_spans(t, [(3, 1, 5)], f.score, 1.0)[1:] == secret_scan.all_spans(t, [], f.score, 1.0)[1:]  # overlaps a fixed span
+
+
 def test_state_merging():
     states = secret_scan.infer(["ab" * k for k in range(1, 40)] * 20)
     assert len(states) <= 4  # a loop over a, b
