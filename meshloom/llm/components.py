@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     Nodes are longs. Each step is a partial aggregation and a join, so a node with very many
     links is combined before the shuffle and split by adaptive skew handling after it; each
     round ends in a written table. Self-links and repeated links change nothing; an empty table
-    has no rows. The number of rounds grows with the logarithm of the longest chain.
+    has no rows. The number of rounds grows with the logarithm of the longest chain; more than
+    ``rounds`` of them, which no chain of longs can need, are an error.
     """
     scratch = Scratch(links.sparkSession, "components")
     u, v = F.col("u"), F.col("v")
@@ -42,4 +43,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == last:
             break
         last = now
+    else:
+        if last[0]:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
     return edges.select(u.alias("node"), v.alias("root")).unionByName(edges.select(v.alias("node"), v.alias("root")).distinct())

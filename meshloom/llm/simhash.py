@@ -2,9 +2,9 @@
 
 A fingerprint is cut into 32 segments of two bits; its embedding is the number of bits set in
 each. The Manhattan distance of two embeddings never exceeds the Hamming distance of the
-fingerprints. The embedding's axes are dealt into six groups: at a distance of 3 at most three
-groups can differ, so two linked fingerprints share a grid cell, the exact coordinates on some
-three of the six groups. Within cells the Manhattan bound is tested first, then the Hamming
+fingerprints. The embedding's axes are dealt into six groups (more where there are very many
+fingerprints): at a distance of 3 at most three groups can differ, so two linked fingerprints
+share a grid cell, the exact coordinates on some of the groups, all but three. Within cells the Manhattan bound is tested first, then the Hamming
 distance itself. Documents with one fingerprint are one point, so copies never meet in pairs,
 and a cell passes on a spanning forest of its links, never all of its pairs.
 """
@@ -22,7 +22,9 @@ from meshloom.llm.common import Scratch, id_text, release_memos
 from meshloom.llm.components import connected_components
 
 BITS, SEGMENT = 64, 2
-GROUPS, DISTANCE = 6, 3
+DISTANCE = 3
+# Groups of axes up to so many points: a cell of six groups has some 2**24 values, one of eight 2**30, one of ten 2**33.
+GROUPS = ((1 << 23, 6), (1 << 29, 8), (1 << 62, 10))
 CELL = 2048  # points that are compared with each other in one piece
 SEED = 42
 
@@ -68,11 +70,11 @@ def fingerprint_table(docs: DataFrame, words: int = 3, key: Column | None = None
     return rows.mapInArrow(run, "doc_id long, fp long" + ", key string" * len(more))
 
 
-def _masks() -> list[int]:
-    """For each choice of three axis groups: the bits of the embedding that a cell fixes."""
-    segments = np.array_split(np.arange(BITS // SEGMENT), GROUPS)
+def _masks(groups: int) -> list[int]:
+    """For each choice of all axis groups but three: the bits of the embedding that a cell fixes."""
+    segments = np.array_split(np.arange(BITS // SEGMENT), groups)
     group = [sum(0b11 << (SEGMENT * int(s)) for s in g) for g in segments]
-    out = [sum(group[g] for g in some) for some in combinations(range(GROUPS), GROUPS - DISTANCE)]
+    out = [sum(group[g] for g in some) for some in combinations(range(groups), groups - DISTANCE)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
 
 
@@ -161,15 +163,19 @@ def _links(fp: np.ndarray, starts: np.ndarray, n: int):
         yield pa.RecordBatch.from_arrays([pa.array(x.view("<i8")), pa.array(y.view("<i8"))], ["a", "b"])
 
 
-def links(points: DataFrame, scratch: Scratch) -> DataFrame:
+def links(points: DataFrame, scratch: Scratch, groups: int | None = None) -> DataFrame:
     """Links a, b that connect the distinct fingerprints of ``points`` (fp) within the distance.
 
-    Each point goes to 20 cells. A cell of more than CELL points is split into blocks, and every
+    Each point goes to 20 cells (56 or 120 with more groups). A cell of more than CELL points is split into blocks, and every
     two blocks are compared in a group of their own, so no task holds more than a few blocks.
     """
-    masks = F.array(*[F.struct(F.lit(k).cast("int").alias("grid"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(_masks())])
+    n_points = points.count()
+    groups = groups or next(g for most, g in GROUPS if n_points <= most)
+    fixed = _masks(groups)
+    masks = F.array(*[F.struct(F.lit(k).cast("int").alias("grid"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(fixed)])
     cells = points.select("fp", F.explode(masks).alias("g")).select(F.col("g.grid").alias("grid"), embedding(F.col("fp")).bitwiseAND(F.col("g.mask")).alias("cell"), "fp")
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # 24 bytes a row, 32 MB a partition
+    n = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, n_points * len(fixed) * 24 // (32 << 20) + 1))
     hot = scratch.put(cells.groupBy("grid", "cell").count().where(F.col("count") > CELL), "hot")
     if hot.isEmpty():
         dealt = cells.repartition(n, "grid", "cell").sortWithinPartitions("grid", "cell")
@@ -182,6 +188,22 @@ def links(points: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_verify, "a long, b long")
 
 
+def _by_fingerprint(prints: DataFrame, points: DataFrame, values: DataFrame, how: str = "inner") -> DataFrame:
+    """``prints`` joined with ``values``, at most a row for each fp. ``points`` has every fp's number of rows, n.
+
+    Fingerprints of more than 100 rows and a hundred-thousandth of all rows, at most a hundred thousand of them,
+    are joined by broadcast, so that no task gets all rows of one; the others by shuffle.
+    """
+    total = points.agg(F.sum("n")).first()[0] or 0
+    hot = points.where(F.col("n") > max(100, total // 100_000)).select("fp")
+    if hot.isEmpty():
+        return prints.join(values, "fp", how)
+    few = F.broadcast(hot)
+    own = few.join(values, "fp", how)
+    rest = prints.join(few, "fp", "left_anti").join(values, "fp", how)
+    return prints.join(F.broadcast(own), "fp").unionByName(rest)
+
+
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
@@ -191,13 +213,14 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(fingerprint_table(docs, words), "prints")
-    points = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    points = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points")
     roots = scratch.put(connected_components(scratch.put(links(points, scratch), "near")), "roots")
     # Most points have no link and are their own component: only linked points are aggregated.
     linked = roots.join(points, roots.node == points.fp).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     point_component = points.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(point_component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    point_component = scratch.put(point_component, "component")
+    return _by_fingerprint(prints, points, point_component).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def text_digest(text: Column) -> Column:
@@ -214,11 +237,11 @@ def simhash_keepers(docs: DataFrame, words: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash_keep")
     prints = scratch.put(fingerprint_table(docs, words, text_digest(F.col("text"))), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "fp", "key")
-    points = scratch.put(prints.groupBy("fp").agg(F.min(first).alias("first")), "points")
+    points = scratch.put(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "points")
     roots = scratch.put(connected_components(scratch.put(links(points.select("fp"), scratch), "near")), "roots")
     linked = roots.join(points, roots.node == points.fp).select("fp", "root", "first")
     winners = linked.groupBy("root").agg(F.min("first").alias("first"))
     lost = linked.select("fp", "root").join(winners, "root").where("fp <> first.fp").select("fp")
-    lead = points.join(lost, "fp", "left_anti").select("fp", "first")
+    lead = scratch.put(points.join(lost, "fp", "left_anti").select("fp", "first"), "lead")
     kept = F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    return prints.join(lead, "fp", "left").select("doc_id", "key", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return _by_fingerprint(prints, points, lead, "left").select("doc_id", "key", F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -440,6 +440,30 @@ def test_simhash(docs, none, plain):
     assert simhash.simhash_components(docs).count() == len(plain) and simhash.simhash_components(none).isEmpty()
 
 
+def test_simhash_hot_fingerprint(spark):
+    """Copies in most rows, ids missing among them: joined apart from the others."""
+    data = [(k if k % 7 else None, "one text that most rows hold" if k % 3 else f"another text {k // 6} of some words") for k in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    pairs = sorted({(d, fingerprint(t)) for d, t in data if d is not None})
+    expected = components(pairs)
+    got = simhash.simhash_components(df).collect()
+    assert len(got) == 1200 and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == expected
+    kept = [r["doc_id"] for r in simhash.simhash_keepers(df).where("kept").collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(set(expected.values()))
+
+
+@pytest.mark.parametrize("groups", [8, 10])
+def test_simhash_more_groups(spark, groups):
+    rng = random.Random(18)
+    points = set()
+    for _ in range(40):
+        x = rng.getrandbits(63)
+        points |= {x ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 4))) for _ in range(8)}
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.links(df, Scratch(spark, "t"), groups)).collect()}
+    assert {p: roots.get(p, p) for p in points} == components([(p, p) for p in sorted(points)])
+
+
 @pytest.mark.parametrize("cell", [2048, 6])
 def test_simhash_links(spark, monkeypatch, cell):
     """Chains and clusters of fingerprints at one to four bits, in hot cells too."""
@@ -472,6 +496,11 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long"), rounds=2)
+
+
 # -- 8
 
 @pytest.mark.parametrize("base", [5, 10, 20])
