@@ -11,15 +11,18 @@ Two ways to encode a piece of text share these tables:
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 
 from meshloom.llm.common import Cache
 
 # Fixed value: the published pre-tokenisation pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+RUN = regex.compile(r"\s{2,}")
 SHIFT = 20
 
 
@@ -61,7 +64,8 @@ class ByteBPE:
         self.longest = max(map(len, self.vocab))
         self.starts = {t[:k] for t in self.vocab for k in range(1, len(t))}
         self.ids = Cache(lambda piece: tuple(self.encode_piece(piece.encode())), cache)
-        self.counts = Cache(lambda piece: self.prefix_tokens(piece.encode())[1][-1], cache)
+        self.steps = Cache(self._steps, cache)
+        self.runs = Cache(self._run, 10_000)
         self._spines: dict[tuple[int, bool], tuple] = {}
         self._fit: dict[int, bool] = {}
 
@@ -194,12 +198,39 @@ class ByteBPE:
                     break
         return last, count
 
-    def count(self, text: str) -> int:
-        n = 0
-        counts = self.counts.__getitem__
-        for part, special in self.segments(text):
-            n += 1 if special is not None else sum(map(counts, self.pattern.findall(part)))
-        return n
+    def _steps(self, piece: str) -> bytes:
+        """By how much each code point of a piece changes the token count, as signed bytes; empty where one byte can't hold it."""
+        table, at, counts = self.prefix_tokens(piece.encode())[1], 0, [0]
+        for ch in piece:
+            at += len(ch.encode())
+            counts.append(table[at])
+        if piece in ("'re", "'ve", "'ll"):  # a prefix that ends inside holds the apostrophe and the letter apart
+            counts[2] = 2
+        steps = [y - x for x, y in zip(counts, counts[1:], strict=False)]
+        return array("b", steps).tobytes() if all(-128 <= x < 128 for x in steps) else b""
+
+    def prefix_steps(self, text: str) -> bytes:
+        """The table over all prefixes, as the change of the exact token count from each prefix to the next:
+        a signed byte for each code point, or four bytes for each where a byte can't hold them all."""
+        special = self._special is not None and any(s in text for s in self.specials)
+        out = b"" if special else b"".join(map(self.steps.__getitem__, self.pattern.findall(text)))
+        if len(out) != len(text):
+            return _packed(np.array(self.prefix_counts(text)))
+        if RUN.search(text) is None:
+            return out
+        # A prefix that ends in a run of white space holds it as one piece, up to there.
+        counts = np.zeros(len(text) + 1, np.int64)
+        np.cumsum(np.frombuffer(out, np.int8), out=counts[1:])
+        for m in RUN.finditer(text):
+            counts[m.start() + 1 : m.end() + 1] = counts[m.start()] + np.array(self.runs[m[0]])
+        return _packed(counts)
+
+    def _run(self, run: str) -> tuple[int, ...]:
+        table, at, out = self.prefix_tokens(run.encode())[1], 0, []
+        for ch in run:
+            at += len(ch.encode())
+            out.append(table[at])
+        return tuple(out)
 
     def prefix_counts(self, text: str) -> list[int]:
         """Exact token count of ``text[:k]`` for every k from 0 to len(text).
@@ -253,11 +284,18 @@ class ByteBPE:
                 out[m.end()] = done
         return out
 
-    def longest_prefix(self, text: str, budget: int) -> tuple[int, int]:
-        """The most code points that fit in ``budget`` tokens, and the tokens they take."""
-        counts = self.prefix_counts(text)
-        k = max(i for i, n in enumerate(counts) if n <= max(0, budget))
-        return k, counts[k]
+
+def _packed(counts: np.ndarray) -> bytes:
+    steps = np.diff(counts)
+    small = not len(steps) or (steps.min() >= -128 and steps.max() < 128)
+    return steps.astype("i1" if small else "<i4").tobytes()
+
+
+def unpacked(steps: bytes, n_chars: int) -> np.ndarray:
+    """The exact token count of every prefix, from 0 to ``n_chars`` code points."""
+    out = np.zeros(n_chars + 1, np.int64)
+    np.cumsum(np.frombuffer(steps, "i1" if len(steps) == n_chars else "<i4"), out=out[1:])
+    return out
 
 
 @lru_cache(maxsize=4)

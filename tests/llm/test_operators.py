@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meshloom.llm import bpe_codec, exact_dedup, keep, language_id, packing, quality, secret_scan, simhash, substring_dedup, token_counts, token_files
-from meshloom.llm.byte_bpe import byte_bpe
+from meshloom.llm import byte_bpe as byte_bpe_module
+from meshloom.llm.byte_bpe import byte_bpe, unpacked
 from meshloom.llm.common import Scratch
 from meshloom.llm.components import connected_components
 from meshloom.llm.word_tokens import WordEncoder
@@ -97,8 +98,10 @@ def test_prefix_counts_are_exact():
         s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
         counts = [len(tk.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
         assert bpe.prefix_counts(s) == counts, s
-        k, n = bpe.longest_prefix(s, 5)
-        assert n <= 5 and k == max(i for i, c in enumerate(counts) if c <= 5)
+        assert unpacked(bpe.prefix_steps(s), len(s)).tolist() == counts, s
+    for s in ("-" * 300, "a" * 300, " " * 300 + "x" + "=" * 200):
+        assert unpacked(bpe.prefix_steps(s), len(s)).tolist() == [len(tk.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
+    assert unpacked(byte_bpe_module._packed(np.array([0, 300, 1])), 2).tolist() == [0, 300, 1]
 
 
 def test_truncations(docs, plain):
@@ -106,6 +109,7 @@ def test_truncations(docs, plain):
     for d, r in by_id(token_counts.truncations(docs.where("length(text) < 1000 OR text IS NULL"), BYTE, 7)).items():
         t = plain[d] or ""
         assert r["n_tokens"] == len(tk.encode(t[: r["n_chars"]], add_special_tokens=False).ids) <= 7
+        assert r["n_chars"] == max(k for k in range(len(t) + 1) if len(tk.encode(t[:k], add_special_tokens=False).ids) <= 7)
         assert r["n_total"] == len(tk.encode(t, add_special_tokens=False).ids)
 
 
