@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a single machine) a temporary folder is chosen and
-    recorded in the session, so that one session keeps one folder.
+    Only where it is unset and Spark runs in one process (tests) a temporary folder is chosen and
+    recorded in the session, so that one session keeps one folder. On a cluster it must be set.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meshloom-")
         spark.conf.set(key, found)
     return found.rstrip("/")
@@ -36,7 +39,8 @@ class Scratch:
     """Written tables that cut lineage: a lost executor costs one stage, not the whole plan.
 
     ``put`` writes a DataFrame as Parquet below the shared folder and returns it reread;
-    ``drop`` deletes a table that no later plan reads.
+    ``drop`` deletes a table that no later plan reads. What is left is deleted when the driver's
+    JVM ends, since only DataFrames of its session read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -46,6 +50,10 @@ class Scratch:
         self._n = 0
 
     def path(self, name: str) -> str:
+        if not self._n:
+            fs, root = self._at(self.root)
+            fs.mkdirs(root)
+            fs.deleteOnExit(root)
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
@@ -69,9 +77,12 @@ class Scratch:
                 self.delete(path)
 
     def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = self._at(path)
+        fs.delete(where, True)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
     def sweep(self) -> None:
         """Let Spark's cleaner remove the shuffle files of plans that have ended."""
