@@ -59,17 +59,28 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
+        self._write(df.write.option("compression", "zstd"), lambda w: w.parquet(path))
+        return self._hold(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def put_buckets(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """As ``put``, in ``n`` buckets by ``key``: later joins by it shuffle the other side alone."""
+        path, table = self.path(name), f"meshloom_{uuid.uuid4().hex}"
+        self._write(df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd"), lambda w: w.saveAsTable(table))
+        return self._hold(self.spark.table(table), path)
+
+    def _write(self, writer, how) -> None:
         cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(cleanup, "false")
         self.spark.conf.set(cleanup, "true")  # the written table stands for the plan: its shuffle files can go
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            how(writer)
         finally:
             self.spark.conf.set(cleanup, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+
+    def _hold(self, df: DataFrame, path: str) -> DataFrame:
+        self._paths[id(df)] = path
         self.sweep()
-        return out
+        return df
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:

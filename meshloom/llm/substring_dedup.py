@@ -6,7 +6,9 @@ extended to twice its length and counted again, up to the full length. At the sh
 one window stands for each full one: the one with the least hash in it, which two copies of a
 passage share. That keeps an eighth of the positions and loses no repetition.
 
-Windows are identified by 64-bit hashes, those of longer ones made from those of their halves.
+Windows of the lower levels are identified by 63 bits of hash, which can only let more windows
+through; full ones by 63 bits and 32 of a second, independent hash. Both start from XXH128 of
+every word; those of longer windows are made from those of their halves.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_128_digest
 
-from meshloom.llm.common import SPACE_BYTES, Scratch, id_text
+from meshloom.llm.common import Scratch, id_text, n_partitions, release_memos
 
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,42 +53,21 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Words:
-    """The words of many texts, side by side, and a hash of each."""
-
-    def __init__(self, texts: list[bytes]):
-        data = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(data, np.uint8)
-        edge = np.diff(np.r_[np.int8(1), IS_SPACE[buf]])
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.hash = _hash_words(buf, starts, ends)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])))
-        self.first = np.searchsorted(self.text, np.arange(len(texts)))  # a text's first word
-
-
-IS_SPACE = np.zeros(256, np.int8)
-IS_SPACE[list(SPACE_BYTES)] = 1
-_RANDOM = np.random.default_rng(20)
-BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
-STEP = int(_RANDOM.integers(1, 1 << 62)) * 2 + 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of STEP and of its inverse modulo 2**64, up to the largest text block met so far."""
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((STEP, pow(STEP, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64)
-    return _POWERS
-
-
-def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all words at once, from one running sum over the bytes."""
-    up, down = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE[buf] * up[: len(buf)], out=total[1:])
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD)
+    """The words of many texts, side by side, and two independent hashes of each."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        some = coded.dictionary.to_pylist()
+        both = np.frombuffer(b"".join(map(xxh3_128_digest, some)), "<u8").reshape(-1, 2)
+        at = coded.indices.to_numpy()
+        text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        if "" in some:  # what white space at either end of a text leaves
+            real = at != some.index("")
+            at, text = at[real], text[real]
+        self.text = text
+        self.hash, self.second = both[at, 0], both[at, 1]
+        self.first = np.searchsorted(text, np.arange(len(texts)))  # a text's first word
 
 
 class Windows:
@@ -97,15 +79,8 @@ class Windows:
         self.live = np.flatnonzero(words.text[:n] == words.text[full - 1 :]) if n else np.empty(0, np.int64)  # windows within one text
         if not n:
             return
-        h = np.zeros(len(words.hash) - base + 1, np.uint64)
-        for k in range(base):
-            h = h * ODD + words.hash[k : k + len(h)]
-        self.hash = {base: _mix(h)}
-        size = base
-        while size * 2 <= full:
-            a = self.hash[size]
-            self.hash[size * 2] = _joined(a[:-size], a[size:])
-            size *= 2
+        self.words = words
+        self.hash = dict(self._levels(words.hash))
         # where[L][p]: the window of length L that stands for the full window at p
         place = np.arange(n)
         self.where = {base: _sliding_argmin(self.hash[base], full - base + 1)}
@@ -115,6 +90,23 @@ class Windows:
             self.where[size * 2] = np.where(s + 2 * size <= place + full, s, s - size)
             size *= 2
 
+    def _levels(self, of: np.ndarray):
+        """(size, hashes of all windows of that many words)."""
+        h = np.zeros(len(of) - self.base + 1, np.uint64)
+        for k in range(self.base):
+            h = h * ODD + of[k : k + len(h)]
+        h, size = _mix(h), self.base
+        yield size, h
+        while size * 2 <= self.full:
+            h = _joined(h[:-size], h[size:])
+            size *= 2
+            yield size, h
+
+    def second(self, places: np.ndarray) -> np.ndarray:
+        """32 bits of the second hash of full windows."""
+        *_, (_, h) = self._levels(self.words.second)
+        return h[places] >> np.uint64(32)
+
     def candidates(self, size: int, survivors: np.ndarray | None) -> np.ndarray:
         """Places of windows of ``size`` words whose half (or nothing, at the base) is repeated;
         for the full size, of full windows."""
@@ -132,22 +124,22 @@ class Windows:
         return np.flatnonzero(chosen)
 
 
-BLOCK = 2 << 20  # bytes of text that a worker takes at a time; a longer text is a block alone
+BLOCK = 4 << 20  # bytes of text that a worker takes at a time; a longer text is a block alone
 
 
-# A row is three longs, since all candidate windows cross the network. ``route`` is a window's hash
-# with an even last bit, or an odd number where the row is decided already; ``tag`` packs the text's
-# hash (32 bits), the state (2 bits) and the place in words (30 bits).
-ROWS = "route long, doc long, tag long"
-FOUND = "doc long, th int, at array<int>"
+# A row is four longs, since all candidate windows cross the network. ``route`` is a window's hash
+# with an even last bit, or an odd number where the row is decided already; ``rid`` is the text's row;
+# ``tag`` packs the second hash of full windows (32 bits), the state (2 bits) and the place in words
+# (30 bits).
+ROWS = "route long, doc long, rid long, tag long"
+FOUND = "rid long, at array<int>"
 SINGLE, KNOWN, SEVERAL = 0, 1, 2
 PLACES = 30
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, th, text: a row's place in the order of documents, and its text's hash, which tells
-    rows apart that share an id."""
-    return id_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.hash("text").alias("th"), F.col("doc_id"), F.col("text"))
+    """rid, doc, doc_id, text: a number for each row, and its place in the order of documents."""
+    return id_text(docs).select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
 
 
 def _gather(size: int, base: int, full: int):
@@ -162,17 +154,18 @@ def _gather(size: int, base: int, full: int):
     def blocks(batches):
         for b in batches:
             cols = {f.name: b.column(k) for k, f in enumerate(b.schema)}
-            doc_of, th_of = cols["doc"].to_numpy(), cols["th"].to_numpy()
-            lens = pc.binary_length(cols["text"]).to_numpy()
+            doc_of, rid_of, texts = cols["doc"].to_numpy(), cols["rid"].to_numpy(), cols["text"]
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             at = 0
-            while at < len(lens):
-                end = at + max(1, int(np.searchsorted(np.cumsum(lens[at:]), BLOCK, "right")))
-                texts = [t.encode() for t in cols["text"].slice(at, end - at).to_pylist()]
-                yield texts, cols["at"].slice(at, end - at).to_pylist() if "at" in cols else None, doc_of[at:end], th_of[at:end]
+            while at < len(texts):
+                done = int(ends[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+                yield texts.slice(at, end - at), cols["at"].slice(at, end - at).to_pylist() if "at" in cols else None, doc_of[at:end], rid_of[at:end]
                 at = end
 
     def run(batches):
-        for texts, old, doc_of, th_of in blocks(batches):
+        release_memos()
+        for texts, old, doc_of, rid_of in blocks(batches):
             words = Words(texts)
             survivors = None
             if old is not None:
@@ -183,49 +176,47 @@ def _gather(size: int, base: int, full: int):
             if not len(c):
                 continue
             key, doc = w.hash[size][c] & ~np.uint64(1), words.text[c]
+            second = w.second(c) if size == full else np.zeros(len(c), np.uint64)
             at = c - words.first[doc]
-            d, t = doc_of[doc], th_of[doc]
+            d, t = doc_of[doc], rid_of[doc]
             del w, words
-            order = np.lexsort((at, t, d, key))
-            key, at, d, t = key[order], at[order], d[order], t[order]
-            first = np.r_[True, key[1:] != key[:-1]]
+            order = np.lexsort((at, t, d, second, key))
+            key, second, at, d, t = key[order], second[order], at[order], d[order], t[order]
+            first = np.r_[True, (key[1:] != key[:-1]) | (second[1:] != second[:-1])]
             state = np.full(len(key), KNOWN, np.int8)
             if size < full:
                 starts = np.flatnonzero(first)
                 state[starts] = np.where(np.diff(np.r_[starts, len(key)]) > 1, SEVERAL, SINGLE)
             else:
                 lead = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-                new_row = first | np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])]
+                new_row = first | np.r_[True, t[1:] != t[:-1]]
                 state[(d == lead) & new_row] = SINGLE
-            mixed = (d.view(np.uint64) * ODD) ^ at.astype(np.uint64)
+            mixed = (t.view(np.uint64) * ODD) ^ at.astype(np.uint64)
             one = np.uint64(1)
-            route = np.where(state == KNOWN, _mix(mixed) | one, key & ~one).view(np.int64)
-            tag = (t.astype(np.int64) << 32) | (state.astype(np.int64) << PLACES) | at
-            again = np.zeros(len(key), bool)  # the same place of the same row, from a row that repeats
-            again[1:] = (key[1:] == key[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
-            keep = ~again if size == full else np.ones(len(key), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (route, d, tag)], ["route", "doc", "tag"])
+            route = np.where(state == KNOWN, _mix(mixed) | one, key).view(np.int64)
+            tag = (second.astype(np.uint64) << np.uint64(32)).view(np.int64) | (state.astype(np.int64) << PLACES) | at
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, d, t, tag)], ["route", "doc", "rid", "tag"])
 
     return run
 
 
-def _by_document(d: np.ndarray, t: np.ndarray, at: np.ndarray):
-    if not len(d):
+def _by_document(t: np.ndarray, at: np.ndarray):
+    if not len(t):
         return
-    order = np.lexsort((at, t, d))
-    d, t, at = d[order], t[order], at[order]
-    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-    offsets = pa.array(np.r_[first, len(d)].astype(np.int32))
-    yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), pa.ListArray.from_arrays(offsets, pa.array(at))], ["doc", "th", "at"])
+    order = np.lexsort((at, t))
+    t, at = t[order], at[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    offsets = pa.array(np.r_[first, len(t)].astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(t[first]), pa.ListArray.from_arrays(offsets, pa.array(at))], ["rid", "at"])
 
 
 def _decide(full: bool):
-    """Rows sorted by (route, doc) to the places that survive (or, of full windows, have an
-    earlier copy), by document. A run of one route may span batches: only its route, its first
+    """Rows sorted by (route, second hash, doc) to the places that survive (or, of full windows, have
+    an earlier copy), by document. A run of one window may span batches: only its hashes, its first
     document and at most one row wait for the next batch."""
 
     def run(batches):
-        last = None  # (route, first doc) of the run that the previous batch ended in
+        last = None  # (route, second hash, first doc) of the run that the previous batch ended in
         held = None  # its last row, where whether it survives is still open
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -236,28 +227,28 @@ def _decide(full: bool):
             if not n:
                 continue
             t = t.combine_chunks()
-            route, d, tag = (t.column(k).to_numpy() for k in range(3))
-            state, th, at = (tag >> PLACES) & 3, (tag >> 32).astype(np.int32), (tag & ((1 << PLACES) - 1)).astype(np.int32)
+            route, d, rid, tag = (t.column(k).to_numpy() for k in range(4))
+            state, second, at = (tag >> PLACES) & 3, tag >> 32, (tag & ((1 << PLACES) - 1)).astype(np.int32)
             known = state == KNOWN
             same = np.zeros(n, bool)
-            same[1:] = route[1:] == route[:-1]
-            same[0] = last is not None and last[0] == int(route[0])
+            same[1:] = (route[1:] == route[:-1]) & (second[1:] == second[:-1])
+            same[0] = last is not None and last[:2] == (int(route[0]), int(second[0]))
             if full:
                 start = np.flatnonzero(~same)
                 run_of = np.cumsum(~same)  # 0: the run that goes on from the previous batch
-                firsts = np.r_[last[1] if same[0] else 0, d[start]]
+                firsts = np.r_[last[2] if same[0] else 0, d[start]]
                 hit = known | (d > firsts[run_of])
-                last = (int(route[-1]), int(firsts[run_of[-1]]))
+                last = (int(route[-1]), int(second[-1]), int(firsts[run_of[-1]]))
             else:
                 follows = np.r_[same[1:], False]
                 hit = known | (state == SEVERAL) | same | follows
                 if not hit[-1]:
                     held = t.slice(n - 1)
                     # the held row is seen again at the head of the next batch, after what precedes it here
-                    last = (int(route[-2]), 0) if n > 1 else last
+                    last = (int(route[-2]), int(second[-2]), 0) if n > 1 else last
                 else:
-                    last = (int(route[-1]), 0)
-            yield from _by_document(d[hit], th[hit], at[hit])
+                    last = (int(route[-1]), int(second[-1]), 0)
+            yield from _by_document(rid[hit], at[hit])
 
     return run
 
@@ -271,19 +262,15 @@ def _levels(base: int, full: int) -> list[int]:
     return out
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, full: int = 20, base: int = 5) -> DataFrame:
-    """doc, th, at: the places of full windows that an earlier document, or an earlier place of
-    the same one, has as well; a few rows for each document."""
-    rows = _keyed(docs)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def repeated_windows(rows: DataFrame, scratch: Scratch, n: int, full: int = 20, base: int = 5) -> DataFrame:
+    """rid, at: the places of full windows that an earlier document, or an earlier place of the same
+    one, has as well; a few rows for each document. ``rows`` is ``_keyed``, in buckets by rid."""
     found = None
     for size in _levels(base, full):
-        if found is None:
-            source = rows.select("doc", "th", "text")
-        else:
-            per_doc = found.groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
-            source = rows.select("doc", "th", "text").join(per_doc, ["doc", "th"])
-        dealt = source.mapInArrow(_gather(size, base, full), ROWS).repartition(n, "route").sortWithinPartitions("route", "doc")
+        source = rows.select("rid", "doc", "text")
+        if found is not None:
+            source = source.join(found.groupBy("rid").agg(F.collect_list("at").alias("at")), "rid")
+        dealt = source.mapInArrow(_gather(size, base, full), ROWS).repartition(n, "route").sortWithinPartitions("route", F.shiftright("tag", 32), "doc")
         newer = scratch.put(dealt.mapInArrow(_decide(size == full), FOUND), f"level{size}")
         if found is not None:
             scratch.drop(found)
@@ -301,9 +288,11 @@ def substring_dedup(docs: DataFrame, full: int = 20, base: int = 5, texts: bool
     empty texts have no words; an empty table gives no rows; other columns are not carried.
     """
     scratch = Scratch(docs.sparkSession, "substring_dedup")
-    found = repeated_windows(docs, scratch, full, base)
-    per_doc = found.groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
-    rows = _keyed(docs).join(per_doc, ["doc", "th"], "left").select("doc_id", "text", "at")
+    n = min(n_partitions(docs, 16 << 20), 100_000)
+    keyed = scratch.put_buckets(_keyed(docs), "texts", "rid", n)  # the one shuffle of whole texts
+    found = repeated_windows(keyed, scratch, n, full, base)
+    per_doc = found.groupBy("rid").agg(F.collect_list("at").alias("at"))
+    rows = keyed.join(per_doc, "rid", "left").select("doc_id", "text", "at")
 
     def cut(batches):
         for b in batches:

@@ -529,6 +529,27 @@ def test_substring_dedup_random(spark, batch, monkeypatch):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
 
 
+def test_words_that_break_polynomial_hashes(spark):
+    """Two words of 1,024 letters that every polynomial modulo 2**64 takes for equal are different words."""
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    rest = " ".join(f"w{k}" for k in range(30))
+    data = [(1, f"{rest} {a} {rest}"), (2, f"x {rest[:60]} {b} {rest[:60]}"), (3, f"{rest.upper()} {b} {rest.upper()}"), (4, f"{a} {rest}")]
+    got = by_id(substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {d: tuple(r)[1:] for d, r in got.items()} == cut_repeats(data)
+
+
+def test_substring_repeated_and_missing_ids(spark):
+    """Rows that share an id, or have none: none of them is earlier than another, whatever their texts."""
+    rng = random.Random(19)
+    say = lambda n: " ".join(str(rng.getrandbits(30)) for _ in range(n))
+    p, q = say(25), say(25)
+    data = [(5, p), (5, p), (5, f"{say(5)} {p}"), (6, f"{p} {say(4)}"), (None, p), (None, q), (None, q), (None, f"{q} {say(3)}"), (7, f"{q} {q}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == sorted([(5, 25, 0), (5, 25, 0), (5, 30, 0), (6, 29, 25), (0, 25, 25), (0, 25, 25), (0, 25, 25), (0, 28, 25), (7, 50, 25)])
+
+
 def test_bad_levels(docs):
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup(docs, full=20, base=3)
