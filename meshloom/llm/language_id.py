@@ -1,16 +1,21 @@
 """Operator 9: language of texts by a linear-chain conditional random field over words.
 
-Word features (affixes, character n-grams, membership in a lexicon) and label transitions are
-learned together by gradient ascent on the conditional likelihood, with forward-backward over
+Word features (affixes, character n-grams, membership in each language's lexicon) and label transitions
+are learned together by gradient ascent on the conditional likelihood, with forward-backward over
 word sequences. Some training sequences switch language in the middle, so that the transitions
-learn how often neighbours differ. A document's language is the label with the highest mean
-posterior over its words.
+learn how often neighbours differ. A text is one chain, however long; its language is the label
+with the highest mean posterior over its words.
+
+A word is a run of letters; a run of more than PIECE letters counts as several words, PIECE
+letters each.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -20,9 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meshloom.llm.common import id_text
 
 WORD = re.compile(r"[^\W\d_]+")
-SPAN = 64  # words in a chain; a longer text is a row of chains
 UNKNOWN = "und"
-LONGEST = 48
+PIECE = 48
 
 
 def fold(doc_id: Column) -> Column:
@@ -30,9 +34,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def features(word: str) -> list[str]:
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased."""
+    out = WORD.findall(text.lower())
+    if not all(map(str.isalpha, out)):  # digits of other kinds, as in m², part words
+        out = ["".join(run) for w in out for letters, run in groupby(w, str.isalpha) if letters]
+    if max(map(len, out), default=0) > PIECE:
+        out = [w[k : k + PIECE] for w in out for k in range(0, len(w), PIECE)]
+    return out
+
+
+def features(w: str) -> list[str]:
     """Affixes of one to four letters, inner n-grams of two and three, and the word itself."""
-    w = word[:LONGEST]
     n = len(w)
     out = ["=" + w]
     out += ["<" + w[:k] for k in range(1, min(4, n) + 1)]
@@ -42,11 +55,25 @@ def features(word: str) -> list[str]:
     return out
 
 
+def lexicons(words: list[tuple[int, list[str]]], size: int = 1000, least: int = 3) -> dict[str, list[str]]:
+    """word -> a feature for each language whose lexicon has it: its ``size`` most frequent words, ``least`` times at least."""
+    counts: dict[int, Counter] = {}
+    for lang, ws in words:
+        counts.setdefault(lang, Counter()).update(ws)
+    out: dict[str, list[str]] = {}
+    for lang in sorted(counts):
+        for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:size]:
+            if n >= least:
+                out.setdefault(w, []).append(f"#{lang}")
+    return out
+
+
 class Model(NamedTuple):
     langs: list[str]
     index: dict[str, int]  # feature -> row of weights
     weights: np.ndarray  # float32 [features, langs]
     moves: np.ndarray  # float32 [langs, langs]: log potentials from a word's label to the next one's
+    lexicon: dict[str, list[str]]  # word -> features of the lexicons that have it
 
 
 def posteriors(emit: np.ndarray, valid: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +100,54 @@ def posteriors(emit: np.ndarray, valid: np.ndarray, moves: np.ndarray) -> tuple[
     return post, np.stack([alpha, e * beta]) if k else np.empty(0)
 
 
+STEPS = 1024  # steps of a chain that are held at a time
+
+
+def posterior_sums(rows: np.ndarray, widths: np.ndarray, potentials: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Forward-backward over whole chains of any lengths, longest first: label posteriors, summed over each chain.
+
+    ``rows`` are places in ``potentials`` (not logs), step after step; ``widths`` is how many
+    chains have each step. Only what the forward pass had at every STEPS-th step is kept; in
+    between it is made again when the backward pass gets there.
+    """
+    k = potentials.shape[1]
+    steps, m = len(widths), np.exp(moves)
+    off = np.r_[0, np.cumsum(widths)]
+    total = np.zeros((int(widths[0]) if steps else 0, k))
+
+    def forward(a, t):
+        e = potentials[rows[off[t] : off[t + 1]]]
+        a = e if a is None else (a[: len(e)] @ m) * e
+        return a / a.sum(axis=1, keepdims=True)
+
+    kept, alpha = [], None
+    for start in range(0, steps, STEPS):
+        kept.append(alpha)
+        if start + STEPS < steps:
+            for t in range(start, start + STEPS):
+                alpha = forward(alpha, t)
+    right = None  # what the step after gives: its potentials times what follows it
+    for start in range((steps - 1) // STEPS * STEPS, -1, -STEPS):
+        alphas, alpha = [], kept.pop()
+        for t in range(start, min(start + STEPS, steps)):
+            alpha = forward(alpha, t)
+            alphas.append(alpha)
+        for t in range(start + len(alphas) - 1, start - 1, -1):
+            post = alphas.pop()
+            e = potentials[rows[off[t] : off[t + 1]]]
+            if right is None:
+                right = e / e.sum(axis=1, keepdims=True)
+            else:
+                beta = right @ m.T
+                n = len(beta)
+                post[:n] *= beta
+                post[:n] /= post[:n].sum(axis=1, keepdims=True)
+                e[:n] *= beta
+                right = e / e.sum(axis=1, keepdims=True)
+            total[: len(post)] += post
+    return total
+
+
 def pair_counts(both: np.ndarray, valid: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Expected label pairs, summed, from what ``posteriors`` gives."""
     alpha, right = both
@@ -85,20 +160,22 @@ def pair_counts(both: np.ndarray, valid: np.ndarray, moves: np.ndarray) -> np.nd
     return total
 
 
-def train(texts: list[tuple[str, str]], epochs: int = 3, words_per_text: int = 256, rate: float = 0.3, decay: float = 1e-5, switch: float = 0.3, most_features: int = 300_000, seed: int = 11) -> Model:
-    """Fit on (language, text) pairs. Deterministic in the order of ``texts``."""
+def train(texts: list[tuple[str, str]], epochs: int = 3, rate: float = 0.3, decay: float = 1e-5, switch: float = 0.3, most_features: int = 300_000, seed: int = 11) -> Model:
+    """Fit on (language, text) pairs, on chains of 32 words. Deterministic in the order of ``texts``.
+    At most ``most_features`` features, fewer where there are very many languages."""
     rng = np.random.default_rng(seed)
     langs = sorted({x for x, _ in texts})
     number = {x: k for k, x in enumerate(langs)}
-    words = [(number[x], WORD.findall(t.lower())[:words_per_text]) for x, t in texts]
+    words = [(number[x], words_of(t)) for x, t in texts]
     words = [(x, w) for x, w in words if w]
     counts: dict[str, int] = {}
-    feats = {w: features(w) for _, ws in words for w in ws}
+    lexicon = lexicons(words)
+    feats = {w: features(w) + lexicon.get(w, []) for w in {w for _, ws in words for w in ws}}
     for _, ws in words:
         for w in ws:
             for f in feats[w]:
                 counts[f] = counts.get(f, 0) + 1
-    chosen = sorted((f for f, n in counts.items() if n > 1), key=lambda f: (-counts[f], f))[:most_features]
+    chosen = sorted((f for f, n in counts.items() if n > 1), key=lambda f: (-counts[f], f))[: min(most_features, 40_000_000 // max(1, len(langs)))]
     index = {f: k for k, f in enumerate(sorted(chosen))}
     ids = {w: np.array([index[f] for f in fs if f in index], np.int64) for w, fs in feats.items()}
     k = len(langs)
@@ -148,7 +225,10 @@ def train(texts: list[tuple[str, str]], epochs: int = 3, words_per_text: int = 2
                 grad -= decay * value
                 seen += grad * grad
                 value += rate * grad / np.sqrt(seen)
-    return Model(langs, index, weights.astype(np.float32), moves.astype(np.float32))
+    return Model(langs, index, weights.astype(np.float32), moves.astype(np.float32), lexicon)
+
+
+GROUP = 4 << 20  # characters of text, for each four languages, that are tagged at a time
 
 
 class Tagger:
@@ -160,10 +240,12 @@ class Tagger:
         self.table = np.zeros((cap, len(model.langs)), np.float32)
 
     def learn(self, new: list[str]) -> None:
-        get = self.model.index.get
+        get, lexicon = self.model.index.get, self.model.lexicon
         flat, lens = [], []
         for w in new:
             f = [i for x in features(w) if (i := get(x)) is not None]
+            if w in lexicon:
+                f += [i for x in lexicon[w] if (i := get(x)) is not None]
             flat += f or [0]
             lens.append(len(f))
         n = np.array(lens)
@@ -171,76 +253,91 @@ class Tagger:
         sums = np.add.reduceat(self.model.weights[np.array(flat)], starts, axis=0) if len(self.model.weights) else np.zeros((len(new), len(self.model.langs)), np.float32)
         sums[n == 0] = 0
         at = len(self.row)
-        self.table[at : at + len(new)] = sums
+        self.table[at : at + len(new)] = np.exp(sums - sums.max(axis=1, keepdims=True))
         self.row.update(zip(new, range(at, at + len(new)), strict=True))
 
     def tag(self, texts: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
-        for at in range(0, len(texts), 256):
-            out += self._tag(texts[at : at + 256])
+        """(language, score) of each text. Texts of like length are tagged together."""
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        most = max(1, GROUP * 4 // max(4, len(self.model.langs)))
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        at = 0
+        while at < len(order):
+            end, size = at + 1, len(texts[order[at]])
+            while end < len(order) and size + len(texts[order[end]]) <= most:
+                size += len(texts[order[end]])
+                end += 1
+            some = order[at:end]
+            for k, found in zip(some, self._tag([words_of(texts[k]) for k in some]), strict=True):
+                out[k] = found
+            at = end
         return out
 
-    def _tag(self, texts: list[str]) -> list[tuple[str, float]]:
-        langs = self.model.langs
-        docs = [[w for w in ws if w.isalpha()] if not all(map(str.isalpha, ws)) else ws for ws in (WORD.findall(t.lower()) for t in texts)]
-        new = {w for ws in docs for w in set(ws)}
-        fresh = sorted(w for w in new if w not in self.row)
-        if len(self.row) + len(fresh) > self.cap:
-            self.row.clear()
-            fresh = sorted(new)
-            if len(fresh) > self.cap:
-                if len(texts) > 1:
-                    half = len(texts) // 2
-                    return self._tag(texts[:half]) + self._tag(texts[half:])
+    def _rows(self, docs: list[list[str]]) -> list[np.ndarray]:
+        """The row of the table for every word, of one document after another."""
+        row = self.row
+        met = set().union(*docs)
+        fresh = sorted(met.difference(row))
+        if len(row) + len(fresh) > self.cap:
+            row.clear()
+            fresh = sorted(met)
+            if len(fresh) > self.cap:  # a group with more different words than the memo holds
                 self.cap = len(fresh)
-                self.table = np.zeros((self.cap, len(langs)), np.float32)
+                self.table = np.zeros((self.cap, len(self.model.langs)), np.float32)
         if fresh:
             self.learn(fresh)
-        sizes = np.array([len(ws) for ws in docs], np.int64)
-        if not langs or not sizes.sum():
-            return [(UNKNOWN, 0.0)] * len(texts)
-        get = self.row.__getitem__
-        rows = np.fromiter((i for ws in docs for i in map(get, ws)), np.int64, int(sizes.sum()))
-        chains = -(-sizes // SPAN)
-        first = np.cumsum(chains) - chains  # a document's first chain
-        within = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chain, step = np.repeat(first, sizes) + within // SPAN, within % SPAN
-        n = int(chains.sum())
-        emit, valid = np.zeros((SPAN, n, len(langs)), np.float32), np.zeros((SPAN, n), bool)
-        emit[step, chain] = self.table[rows]
-        valid[step, chain] = True
-        post, _ = posteriors(emit, valid, self.model.moves)
-        per_chain = (post * valid[:, :, None]).sum(axis=0)
-        total = np.zeros((len(texts), len(langs)))
-        np.add.at(total, np.repeat(np.arange(len(texts)), chains), per_chain)
-        out = []
-        for t, size in zip(total, sizes, strict=True):
-            best = int(t.argmax()) if size else -1
-            out.append((langs[best], float(min(1.0, max(0.0, t[best] / size)))) if size else (UNKNOWN, 0.0))
+        get = row.__getitem__
+        return [np.fromiter(map(get, ws), np.int32, len(ws)) for ws in docs]
+
+    def _tag(self, docs: list[list[str]]) -> list[tuple[str, float]]:
+        langs, rows = self.model.langs, self._rows(docs)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        order = np.argsort(-sizes, kind="stable")  # the longest chain first
+        order = order[: int((sizes > 0).sum())]
+        out = [(UNKNOWN, 0.0)] * len(docs)
+        if not len(order):
+            return out
+        lens = sizes[order]
+        widths = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0]), "right")  # chains with more words than that
+        step = np.concatenate([np.arange(n) for n in lens])
+        place = (np.cumsum(widths) - widths)[step] + np.repeat(np.arange(len(lens)), lens)
+        flat = np.empty(len(place), np.int32)
+        flat[place] = np.concatenate([rows[k] for k in order])
+        total = posterior_sums(flat, widths, self.table, self.model.moves)
+        best = total.argmax(axis=1)
+        for k, y, t, n in zip(order.tolist(), best.tolist(), total, lens.tolist(), strict=True):
+            out[k] = (langs[y], float(min(1.0, max(0.0, t[y] / n))))
         return out
 
 
-def fit(docs: DataFrame, per_lang: int = 400, most_texts: int = 8_000, text_chars: int = 4_000, most_langs: int = 200) -> Model:
+def fit(docs: DataFrame, per_lang: int = 300, most_texts: int = 8_000, text_chars: int = 2_000) -> Model:
     """Learn from a bounded sample of labelled documents outside the held-out fold.
 
-    Languages: the ``most_langs`` most frequent. Of each the ``per_lang`` documents with the
-    smallest id hashes (all together at most ``most_texts``), of each the first ``text_chars``
-    characters. Only this sample comes to the driver.
+    Of each language the ``per_lang`` documents with the smallest id hashes (fewer where that would be
+    more than ``most_texts`` in all), of each the first ``text_chars`` characters. Where there are more
+    than ``most_texts`` languages, the most frequent ones are learned. One scan counts the
+    languages, one finds the sample's ids, one its texts; only the sample comes to the driver.
     """
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    each = min(per_lang, most_texts // max(1, len(langs)))
-    ids = None
-    for lang in langs:
-        some = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
-        return Model([], {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    chosen = [r[0] for r in ids.select("doc_id").distinct().collect()]  # at most most_texts
-    small = F.broadcast(docs.sparkSession.createDataFrame([(c,) for c in chosen], "doc_id long"))
-    texts = rows.join(small, "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, text_chars).alias("text")).limit(2 * most_texts).collect()
-    texts.sort(key=lambda r: (r[0], r[1], r[2]))
-    return train([(r[1], r[2]) for r in texts])
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_texts).collect()
+    if not langs:
+        return Model([], {}, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), {})
+    each = min(per_lang, most_texts // len(langs))
+    # Ids whose hash is in the lowest part, large enough to hold ``each`` of the language all but surely.
+    part = spark.createDataFrame([(r["lang"], min(1.0, (each + 6 * each**0.5 + 6) / r["count"])) for r in langs], "lang string, part double")
+    place = F.xxhash64("doc_id").bitwiseAND((1 << 40) - 1)
+    low = rows.select("doc_id", "lang", place.alias("place")).join(F.broadcast(part), "lang").where(F.col("place") < F.col("part") * (1 << 40))
+    found: dict[str, list] = {}
+    for lang, at, doc in sorted(tuple(r) for r in low.select("lang", "place", "doc_id").distinct().collect()):
+        if len(some := found.setdefault(lang, [])) < each:
+            some.append(doc)
+    chosen = spark.createDataFrame([(d,) for d in sorted({d for some in found.values() for d in some})], "doc_id long")  # at most most_texts
+    wanted = {(lang, d) for lang, some in found.items() for d in some}
+    texts = rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, text_chars).alias("text")).limit(2 * most_texts).collect()
+    return train([(r[1], r[2]) for r in sorted(map(tuple, texts)) if (r[1], r[0]) in wanted])
 
 
 _TAGGERS: dict[str, Tagger] = {}  # of this worker process: the one of the last model

@@ -599,6 +599,62 @@ def test_forward_backward():
     assert np.allclose(language_id.pair_counts(both, valid, moves), pairs)
 
 
+@pytest.mark.parametrize("steps", [1024, 3])
+def test_whole_chains(monkeypatch, steps):
+    """Chains of any lengths at once, in blocks of steps: the same posteriors as those of each chain alone."""
+    monkeypatch.setattr(language_id, "STEPS", steps)
+    rng = np.random.default_rng(4)
+    emit, moves = rng.normal(size=(50, 3)), rng.normal(size=(3, 3))
+    lens = sorted(rng.integers(1, 12, 9).tolist(), reverse=True)
+    chains = [rng.integers(0, 50, n) for n in lens]
+    widths = np.array([sum(n > t for n in lens) for t in range(lens[0])])
+    flat = np.array([c[t] for t in range(lens[0]) for c in chains if len(c) > t])
+    got = language_id.posterior_sums(flat, widths, np.exp(emit), moves)
+    for c, sums in zip(chains, got):
+        post, _ = language_id.posteriors(emit[c][:, None, :], np.ones((len(c), 1), bool), moves)
+        assert np.allclose(sums, post.sum(axis=(0, 1)))
+
+
+def test_words_of_texts():
+    assert language_id.words_of("M² x½ a_b don't 12 é") == ["m", "x", "a", "b", "don", "t", "é"]
+    assert language_id.words_of("a" * 100 + " b") == ["a" * 48, "a" * 48, "aaaa", "b"]
+    assert language_id.words_of("12 ½ ² _") == []
+
+
+def test_letters_beside_digits_and_long_words():
+    rng = random.Random(20)
+    say = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    a, b = ["the", "thing", "with", "that", "nothing"], ["le", "queeau", "mentoi", "elle", "deaux"]
+    model = language_id.train([("en", say(a, 60)) for _ in range(40)] + [("fr", say(b, 60)) for _ in range(40)])
+    tagger = language_id.Tagger(model)
+    got = tagger.tag(["m²", "x½", "½", "the²", "x" * 50 + "withthatnothingthing" * 30, "x" * 50 + "queeaumentoielledeaux" * 30])
+    assert [g[0] != "und" and g[1] > 0 for g in got] == [True, True, False, True, True, True]
+    assert [g[0] for g in got[3:]] == ["en", "en", "fr"]
+    # a long text is one chain: its score doesn't depend on where it would be cut, and both halves count
+    assert tagger.tag([say(a, 3000) + " " + say(b, 2000)])[0] == ("en", pytest.approx(0.6, abs=0.01))
+
+
+def test_lexicons_decide():
+    """A word whose letters say nothing: only its language's lexicon does."""
+    lexicon = language_id.lexicons([(0, ["zz"] * 5 + ["qq"] * 2), (1, ["qq"] * 9 + ["zz"])])
+    assert lexicon == {"zz": ["#0"], "qq": ["#1"]}
+    model = language_id.train([("en", "zz the " * 20)] * 5 + [("fr", "qq le " * 20)] * 5)
+    weight = {f: model.weights[i] for f, i in model.index.items()}
+    assert model.lexicon["zz"] == ["#0"] and weight["#0"][0] > weight["#0"][1] and weight["#1"][1] > weight["#1"][0]
+
+
+def test_language_sample_has_every_language(spark):
+    """More languages than one, one of them rare, ids that repeat: each is learned from, none from the held-out fold."""
+    rng = random.Random(21)
+    vocab = {x: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for x in ("aa", "bb", "cc")}
+    data = [(k % 2900, " ".join(rng.choice(vocab[x]) for _ in range(12)), x) for k in range(3000) for x in [("aa", "bb")[k % 2] if k % 100 else "cc"]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(df, per_lang=20, most_texts=90)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = language_id.predict(df, model).join(df.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.9 * len(got)
+
+
 def test_code_switch():
     rng = random.Random(1)
     a, b = ["the", "thing", "with", "that", "nothing"], ["le", "queeau", "mentoi", "elle", "deaux"]
