@@ -7,8 +7,8 @@ one window stands for each full one: the one with the least hash in it, which tw
 passage share. That keeps an eighth of the positions and loses no repetition.
 
 Windows of the lower levels are identified by 63 bits of hash, which can only let more windows
-through; full ones by 63 bits and 32 of a second, independent hash. Both start from XXH128 of
-every word; those of longer windows are made from those of their halves.
+through; full ones by 63 bits and 32 of a second, independent hash. Both mix every word's bytes,
+eight at a time, in a chain; those of longer windows are made from those of their halves.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from meshloom.llm.common import Scratch, id_text, n_partitions, release_memos
 
@@ -52,35 +52,62 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+LANES = 32  # words of more than so many times eight bytes are hashed one by one
+FIRST, SECOND = 0x243F6A8885A308D3, 0x13198A2E03707344  # seeds
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the lowest k bytes
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word: its bytes, eight at a time, go through a chain of mixes. ``data`` has eight
+    bytes more than the words."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from every place on
+    h = _mix(lens.astype(np.uint64) + np.uint64(seed))
+    some = np.arange(len(lens))
+    for lane in range(LANES):
+        at, left = starts[some] + 8 * lane, lens[some] - 8 * lane
+        h[some] = _mix(h[some] ^ (eight[at] & KEEP[np.minimum(left, 8)]))
+        some = some[left > 8]
+        if not len(some):
+            break
+    for k in some.tolist():
+        h[k] = xxh3_64_intdigest(data[starts[k] : starts[k] + lens[k]].tobytes(), seed)
+    return h
+
+
 class Words:
-    """The words of many texts, side by side, and two independent hashes of each."""
+    """The words of many texts, side by side, and hashes of each."""
 
     def __init__(self, texts: pa.Array):
         split = pc.ascii_split_whitespace(texts)
-        coded = split.values.dictionary_encode()
-        some = coded.dictionary.to_pylist()
-        both = np.frombuffer(b"".join(map(xxh3_128_digest, some)), "<u8").reshape(-1, 2)
-        at = coded.indices.to_numpy()
+        values = split.flatten()
+        ends = values.offsets.to_numpy() if hasattr(values, "offsets") else np.frombuffer(values.buffers()[1], "<i4")[values.offset : values.offset + len(values) + 1]
+        self.starts, self.lens = ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
         text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        if "" in some:  # what white space at either end of a text leaves
-            real = at != some.index("")
-            at, text = at[real], text[real]
+        real = self.lens > 0  # white space at either end of a text leaves empty ones
+        if not real.all():
+            self.starts, self.lens, text = self.starts[real], self.lens[real], text[real]
+        raw = values.buffers()[2]
+        self.data = np.zeros((raw.size if raw else 0) + 8, np.uint8)
+        if raw:
+            self.data[:-8] = np.frombuffer(raw, np.uint8)
         self.text = text
-        self.hash, self.second = both[at, 0], both[at, 1]
         self.first = np.searchsorted(text, np.arange(len(texts)))  # a text's first word
 
+    def hash(self, seed: int = FIRST) -> np.ndarray:
+        return _hash_words(self.data, self.starts, self.lens, seed)
+
 
 class Windows:
     """The windows of many texts at every level; places are those of ``Words``."""
 
     def __init__(self, words: Words, base: int, full: int):
         self.base, self.full = base, full
-        n = max(0, len(words.hash) - full + 1)
+        n = max(0, len(words.text) - full + 1)
         self.live = np.flatnonzero(words.text[:n] == words.text[full - 1 :]) if n else np.empty(0, np.int64)  # windows within one text
         if not n:
             return
         self.words = words
-        self.hash = dict(self._levels(words.hash))
+        self.hash = dict(self._levels(words.hash()))
         # where[L][p]: the window of length L that stands for the full window at p
         place = np.arange(n)
         self.where = {base: _sliding_argmin(self.hash[base], full - base + 1)}
@@ -104,7 +131,7 @@ class Windows:
 
     def second(self, places: np.ndarray) -> np.ndarray:
         """32 bits of the second hash of full windows."""
-        *_, (_, h) = self._levels(self.words.second)
+        *_, (_, h) = self._levels(self.words.hash(SECOND))
         return h[places] >> np.uint64(32)
 
     def candidates(self, size: int, survivors: np.ndarray | None) -> np.ndarray:
@@ -142,6 +169,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_text(docs).select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
 
 
+def _places(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each text, one text after another, and where in them each text's begin; from
+    lists of lists of places. A text without a list has none."""
+    inner = lists.flatten()
+    at = inner.flatten().to_numpy()
+    in_list = np.r_[0, np.cumsum(pc.list_value_length(inner).to_numpy())]
+    n = pc.list_value_length(lists).fill_null(0).to_numpy()
+    return at, in_list[np.r_[0, np.cumsum(n)]]
+
+
 def _gather(size: int, base: int, full: int):
     """Documents (with what survived of them) to rows of candidate windows of ``size`` words.
 
@@ -160,7 +197,7 @@ def _gather(size: int, base: int, full: int):
             while at < len(texts):
                 done = int(ends[at - 1]) if at else 0
                 end = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
-                yield texts.slice(at, end - at), cols["at"].slice(at, end - at).to_pylist() if "at" in cols else None, doc_of[at:end], rid_of[at:end]
+                yield texts.slice(at, end - at), _places(cols["at"].slice(at, end - at)) if "at" in cols else None, doc_of[at:end], rid_of[at:end]
                 at = end
 
     def run(batches):
@@ -169,8 +206,7 @@ def _gather(size: int, base: int, full: int):
             words = Words(texts)
             survivors = None
             if old is not None:
-                parts = [np.concatenate([np.asarray(x, np.int64) for x in some]) + first for some, first in zip(old, words.first, strict=True) if some]
-                survivors = np.concatenate(parts) if parts else np.empty(0, np.int64)
+                survivors = old[0] + np.repeat(words.first, np.diff(old[1]))
             w = Windows(words, base, full)
             c = w.candidates(size, survivors)
             if not len(c):
@@ -297,14 +333,14 @@ def substring_dedup(docs: DataFrame, full: int = 20, base: int = 5, texts: bool
     def cut(batches):
         for b in batches:
             n, gone, sha, kept_texts = [], [], [], []
-            for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            places, of = _places(b.column(2))
+            for text, a, z in zip(b.column(1).to_pylist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
                 words = text.encode().split()
                 kept = words
-                if at:
-                    mark = np.zeros(len(words) + 1, np.int64)
-                    for some in at:
-                        mark[some] = 1
-                    c = np.cumsum(mark)[: len(words)]
+                if a < z:
+                    mark = np.zeros(len(words) + 1, np.int8)
+                    mark[places[a:z]] = 1
+                    c = np.cumsum(mark, dtype=np.int64)[: len(words)]
                     before = np.r_[np.zeros(min(full, len(c)), np.int64), c[:-full]]
                     kept = list(compress(words, (c == before).tolist()))
                 n.append(len(words))
