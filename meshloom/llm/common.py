@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The six ASCII characters that separate words in every operator here.
@@ -142,7 +144,22 @@ class Cache(dict):
 
 
 def release_memos() -> None:
-    """Drop what a reused worker keeps of other operators' tokenizers; they are built again when needed."""
+    """Drop what a reused worker keeps of other operators: their tokenizers, built again when needed, and
+    memory that its allocators have freed and not given back."""
     for module, name in (("meshloom.llm.word_tokens", "word_encoder"), ("meshloom.llm.byte_bpe", "byte_bpe")):
         if module in sys.modules:
             getattr(sys.modules[module], name).cache_clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def each_text(texts: pa.Array, rows: int = 1000):
+    """The texts of a column, a few of them as Python strings at a time."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshloom.llm.common import SPACE, SPACE_BYTES, Scratch, id_text, n_partitions, release_memos
+from meshloom.llm.common import SPACE, SPACE_BYTES, Scratch, each_text, id_text, n_partitions, release_memory, release_memos
 
 LEADER = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("norm", pa.binary()), ("n_chars", pa.int64()), ("lead", pa.int64()), ("members", pa.list_(pa.int64()))])
 LEADER_SQL = "bucket int, hot boolean, norm binary, n_chars long, lead long, members array<long>"
@@ -59,8 +59,7 @@ def splitters(rows: DataFrame, buckets: int, per_bucket: int = 24) -> list[bytes
 
     def keys(batches):
         for b in batches:
-            norms = [normalise(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in norms], pa.binary())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(normalise(t)) for t in each_text(b.column(0))], pa.binary())], ["key"])
 
     found = sorted(bytes(r[0]) for r in some.select("text").mapInArrow(keys, "key binary").limit(2 * wanted).collect())
     return [found[k * len(found) // buckets] for k in range(1, buckets)] if found else []
@@ -105,7 +104,7 @@ def content_runs(docs: DataFrame) -> DataFrame:
         task = TaskContext.get().partitionId()
         for b in batches:
             groups: dict[bytes, list] = {}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), each_text(b.column(1)), strict=True):
                 norm, me = normalise(text), (len(text), doc)
                 if (g := groups.get(norm)) is None:
                     groups[norm] = [me, [doc]]
@@ -122,6 +121,8 @@ def content_runs(docs: DataFrame) -> DataFrame:
                 for to, x in zip(out, (at, hot, norm, *best, members), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, LEADER, strict=True)], schema=LEADER)
+            del groups, out
+            release_memory()
 
     def neighbours(batches):
         out, held, k = [], 0, 0
@@ -136,6 +137,7 @@ def content_runs(docs: DataFrame) -> DataFrame:
             if held >= 10_000:
                 yield flush()
                 out, held = [], 0
+                release_memory()
         if out:
             yield flush()
 

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.llm.common import Scratch, id_text
+from meshloom.llm.common import Scratch, id_text, release_memory
 from meshloom.llm.word_tokens import word_encoder
 
 ITEM = np.dtype([("doc_id", "<i8"), ("null", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -36,6 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """
 
     def run(batches):
+        release_memory()
         enc = word_encoder(tokenizer)
         for b in batches:
             for first, ids, at in enc.blocks(b.column(1)):

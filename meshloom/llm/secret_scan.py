@@ -24,7 +24,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.llm.common import Cache, Scratch, id_text, release_memos
+from meshloom.llm.common import Cache, Scratch, each_text, id_text, release_memos
 
 # The kinds in order, their patterns, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "format")
@@ -269,12 +269,13 @@ def fit_formats(docs: DataFrame, per_kind: int = 1_000, least: float = 1.0, fewe
         """(kind, checksum, credential), the least of a task; (3, count, character)."""
         kept: list[set] = [set(), set(), set()]
         chars: Counter = Counter()
+        release_memos()
 
         def least_of(found: set) -> list:
             return sorted(found)[:most]
 
         for b in batches:
-            for text in b.column(1).to_pylist():
+            for text in each_text(b.column(1)):
                 held = base_spans(text)
                 for kind, s in labelled(text, held):
                     if len(s) <= longest:
@@ -348,7 +349,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
         score = Cache(formats.score, 50_000).__getitem__
         for b in batches:
             counts, digest, spans = ([], [], []), [], []
-            for text in b.column(1).to_pylist():
+            for text in each_text(b.column(1)):
                 base = base_spans(text)
                 for k, to in enumerate(counts):
                     to.append(sum(s[1] == k for s in base))

@@ -63,7 +63,8 @@ def fingerprint_table(docs: DataFrame, words: int = 3, key: Column | None = None
     def run(batches):
         release_memos()
         for b in batches:
-            fp = pa.array(fingerprints(b.column(1).to_pylist(), words).view("<i8"))
+            fp = [fingerprints(b.column(1).slice(at, 1000).to_pylist(), words) for at in range(0, b.num_rows, 1000)]
+            fp = pa.array(np.concatenate([np.empty(0, np.uint64), *fp]).view("<i8"))
             yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", *more])
 
     rows = id_text(docs) if key is None else id_text(docs).withColumn("key", key)

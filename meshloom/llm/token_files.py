@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshloom.llm.common import Scratch, id_text, n_partitions
+from meshloom.llm.common import Scratch, id_text, n_partitions, release_memory
 from meshloom.llm.word_tokens import word_encoder
 
 BATCH = 256  # sequences in every record batch but the last one of a shard
@@ -98,6 +98,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, seq_len: int
     scratch = Scratch(spark, name)
 
     def run(batches):
+        release_memory()
         enc, writer = word_encoder(tokenizer), None
         dtype = "<u2" if max(enc.n_ids, end_id + 1) <= 1 << 16 else "<u4"
         shard = TaskContext.get().partitionId()

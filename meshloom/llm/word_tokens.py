@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from meshloom.llm.byte_bpe import byte_symbols
-from meshloom.llm.common import Cache
+from meshloom.llm.common import Cache, release_memory
 
 # The configuration that makes words independent of each other.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -33,7 +33,7 @@ TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 LONGEST = 64
 CHUNK = 2000
 NONE = pa.array([], pa.string()), pa.array([], pa.large_binary())
-BLOCK = 16 << 20  # bytes of text that are split at a time; a longer text is a block alone
+BLOCK = 8 << 20  # bytes of text that are split at a time; a longer text is a block alone
 LATIN = "\u0250"  # letters before it are their own composed form; all but one have one lower-case letter
 DOTTED = "\u0130"
 
@@ -171,6 +171,7 @@ class WordEncoder:
             done = int(ends[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
             yield at, *self._block(texts.slice(at, end - at))
+            release_memory()
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -179,5 +180,5 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str, cap: int = 2_000_000) -> WordEncoder:
+def word_encoder(path: str, cap: int = 1_000_000) -> WordEncoder:
     return WordEncoder(path, cap)
