@@ -73,8 +73,11 @@ def face_structs(nodes: Column, ctype: CellType) -> Column:
 
 
 def half_faces(cells: DataFrame) -> DataFrame:
-    """Every volume cell's faces: cell_gid, lface, n0..n3 (outward order), k0..k3 (sorted key)."""
+    """Every volume cell's faces: cell_gid, lface, n0..n3 (outward order), k0..k3 (sorted key).
+
+    A cell of another type, or of none, is an error."""
     every = by_type(F.col("ctype"), {t: face_structs(F.col("nodes"), t) for t in FACES})
+    every = F.coalesce(every, F.raise_error(F.concat(F.lit("no volume cell type: "), F.coalesce(F.col("ctype").cast("string"), F.lit("null")), F.lit(", cell "), F.col("cell_gid").cast("string"))))
     rows = cells.select("cell_gid", F.explode(every).alias("f")).select("cell_gid", "f.*")
     return rows.select("*", *sorted_key(*(F.col(f"n{j}") for j in range(4))))
 

@@ -80,6 +80,18 @@ def number_faces(side: DataFrame, local: DataFrame) -> DataFrame:
     return f.withColumn("local_id", (F.row_number().over(w) - 1).cast("int"))
 
 
+def zone():
+    """0: between owned cells, 1: to a ghost, 2: on the boundary."""
+    return F.when(F.col("neigh").isNull(), 2).when(F.col("nb_part").isNotNull(), 1).otherwise(0)
+
+
+def zoned_faces(faces: DataFrame, parts: DataFrame) -> DataFrame:
+    """The faces of all parts, numbered, without nodes or geometry: for what follows from topology alone."""
+    side = sides(faces, parts)
+    f = number_faces(side, local_cells(parts, ghosts(side, parts)))
+    return f.select("part", "local_id", "owner", "neigh", "owner_gid", "neigh_gid", "nb_part", "patch_id", "lface", zone().alias("zone"))
+
+
 def bounding_boxes(local: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per part the box of its owned cells' nodes."""
     own = local.where("donor IS NULL").select("part", "cell_gid").join(cells.select("cell_gid", "nodes"), "cell_gid").select("part", F.explode("nodes").alias("node_gid")).distinct()
@@ -107,7 +119,7 @@ def localize(mesh: Mesh, faces: DataFrame, metrics: DataFrame, parts: DataFrame,
     order = F.filter(F.array(*n), lambda x: x.isNotNull())
     f = f.select(
         "part", "local_id", "owner", "neigh", "owner_gid", "neigh_gid", "nb_part", "patch_id", "lface",
-        F.when(F.col("neigh").isNull(), 2).when(F.col("nb_part").isNotNull(), 1).otherwise(0).alias("zone"),
+        zone().alias("zone"),
         F.when(F.col("flip"), F.reverse(order)).otherwise(order).alias("nodes"),
         "area", *[(sign * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"], "fx", "fy", "fz",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshloom.functions.hilbert import BITS, hilbert_key
-from meshloom.operators.distribution import block_owner, global_rank
+from meshloom.operators.distribution import block_owner, div, global_rank
 from meshloom.operators.faces import dual_edges
 from meshloom.plans.lineage import settled
 
@@ -33,7 +33,7 @@ def hilbert_partition(metrics: DataFrame, k: int) -> DataFrame:
 
 def block_partition(cells: DataFrame, n: int, k: int) -> DataFrame:
     """cell_gid, part = cell_gid * k div n, for cells numbered 0..n-1."""
-    return cells.select("cell_gid", F.floor(F.col("cell_gid") * k / F.lit(n)).cast("int").alias("part"))
+    return cells.select("cell_gid", div(F.col("cell_gid") * k, F.lit(n)).cast("int").alias("part"))
 
 
 def rcb_partition(metrics: DataFrame, k: int, accuracy: int = 10_000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from enum import Enum
 
 import pandas as pd
@@ -40,44 +39,41 @@ def owned_graph(part_faces: DataFrame) -> DataFrame:
     return f.select("part", F.explode(both).alias("e")).select("part", "e.*")
 
 
+def level_sets(neighbours: list[list[int]], root: int) -> list[list[int]]:
+    """The vertices at distance 0, 1, 2, ... of ``root``."""
+    met, out = {root}, [[root]]
+    while front := sorted({v for u in out[-1] for v in neighbours[u]} - met):
+        met.update(front)
+        out.append(front)
+    return out
+
+
+def pseudo_peripheral(neighbours: list[list[int]], root: int) -> int:
+    """A vertex about as far away as any (George and Liu): on to the last level's vertex of least
+    degree, lowest id, for as long as that has more levels."""
+    levels = level_sets(neighbours, root)
+    while True:
+        root = min(levels[-1], key=lambda v: (len(neighbours[v]), v))
+        deeper = level_sets(neighbours, root)
+        if len(deeper) <= len(levels):
+            return root
+        levels = deeper
+
+
 def bandwidth_order(n: int, neighbours: list[list[int]]) -> list[int]:
     """Old ids in new order: reverse Cuthill-McKee, component by component from the lowest id."""
-    degree = [len(x) for x in neighbours]
-    done = [False] * n
-
-    def far_end(start: int) -> int:
-        """A vertex about as far away as any: the last level's, of least degree, at most three walks."""
-        depth_before = 0
-        for _ in range(3):
-            depth, queue = {start: 0}, deque([start])
-            far, far_depth, far_degree = start, 0, degree[start]
-            while queue:
-                u = queue.popleft()
-                if depth[u] > far_depth or depth[u] == far_depth and degree[u] < far_degree:
-                    far, far_depth, far_degree = u, depth[u], degree[u]
-                for v in neighbours[u]:
-                    if v not in depth and not done[v]:
-                        depth[v] = depth[u] + 1
-                        queue.append(v)
-            if far_depth <= depth_before:
-                break
-            depth_before, start = far_depth, far
-        return start
-
     out: list[int] = []
-    for first in range(n):
-        if done[first]:
+    placed: set[int] = set()
+    for lowest in range(n):
+        if lowest in placed:
             continue
-        root = far_end(first)
-        done[root] = True
-        queue = deque([root])
-        while queue:
-            u = queue.popleft()
-            out.append(u)
-            fresh = sorted({v for v in neighbours[u] if not done[v]}, key=lambda v: (degree[v], v))
-            for v in fresh:
-                done[v] = True
-            queue.extend(fresh)
+        numbered = [pseudo_peripheral(neighbours, lowest)]
+        placed.update(numbered)
+        for u in numbered:  # grows while it is read
+            fresh = sorted(set(neighbours[u]) - placed, key=lambda v: (len(neighbours[v]), v))
+            placed.update(fresh)
+            numbered += fresh
+        out += numbered
     return out[::-1]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from meshloom.operators.reorder import patch_ranges
 from meshloom.functions.topology import NODES_PER_TYPE, MeshError, by_type
 from meshloom.functions.vectors import dot, norm, sub, vec
 from meshloom.sources.mesh import LocalMesh
@@ -63,9 +64,9 @@ def halo_violations(halo: DataFrame) -> DataFrame:
     return both.where("s IS NULL OR r IS NULL").select("part", "nb_part", "seq", "cell_gid")
 
 
-def patch_violations(part_faces: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Patches whose faces aren't one gapless range of the zone-sorted faces."""
-    return ranges.where("end - first <> n_faces").select("part", "patch_id")
+def patch_violations(part_faces: DataFrame) -> DataFrame:
+    """part, patch_id of patches whose faces aren't one gapless range of the zone-sorted faces."""
+    return patch_ranges(part_faces).where("end - first <> n_faces").select("part", "patch_id")
 
 
 def face_conservation(part_faces: DataFrame, n_faces: int) -> DataFrame:
@@ -90,7 +91,7 @@ def validate(m: LocalMesh, n_faces: int) -> None:
     """Raise MeshError with some of the offending rows if any contract is broken."""
     checks = {
         "cells": cell_violations(m), "zones": zone_violations(m), "order": order_violations(m.part_faces), "normals": normal_violations(m.part_faces, m.part_cells), "halo": halo_violations(m.halo),
-        "faces": face_conservation(m.part_faces, n_faces).where("NOT balanced"),
+        "patches": patch_violations(m.part_faces), "faces": face_conservation(m.part_faces, n_faces).where("NOT balanced"),
     }
     for name, bad in checks.items():
         if rows := bad.take(5):

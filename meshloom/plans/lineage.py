@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that driver and executors share, spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder takes its place.
+    Only where that is unset and Spark runs in one process (tests) a temporary folder takes its
+    place. On a cluster it must be set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="meshloom-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="meshloom-"))
     return df.checkpoint()

@@ -56,6 +56,10 @@ def localized(spark: SparkSession, sf_dir: str) -> LocalMesh:
     return localize.localize(m, f, c, parts_of(spark, sf_dir))
 
 
+def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return localize.zoned_faces(faces_of(spark, sf_dir)[1], parts_of(spark, sf_dir))
+
+
 # -- distribution
 
 @query
@@ -418,17 +422,17 @@ def rcm_order(spark, sf_dir):
 
 @query
 def face_zone_sort(spark, sf_dir):
-    return reorder.zone_sort(localized(spark, sf_dir).part_faces).select("part", "local_id", "zone", "owner_gid", "lface")
+    return reorder.zone_sort(zoned(spark, sf_dir)).select("part", "local_id", "zone", "owner_gid", "lface")
 
 
 @query
 def zone_counts(spark, sf_dir):
-    return reorder.zone_counts(localized(spark, sf_dir).part_faces)
+    return reorder.zone_counts(zoned(spark, sf_dir))
 
 
 @query
 def patch_face_ranges(spark, sf_dir):
-    return reorder.patch_ranges(reorder.zone_sort(localized(spark, sf_dir).part_faces)).select("part", "patch_id", "n_faces", (F.col("end") - F.col("first")).cast("long").alias("width"))
+    return reorder.patch_ranges(reorder.zone_sort(zoned(spark, sf_dir))).select("part", "patch_id", "n_faces", (F.col("end") - F.col("first")).cast("long").alias("width"))
 
 
 # -- adjacency
@@ -502,7 +506,7 @@ def face_conservation(spark, sf_dir):
 
 @query
 def order_violations(spark, sf_dir):
-    return validate.order_violations(reorder.zone_sort(localized(spark, sf_dir).part_faces)).agg(F.count("*").alias("violations"))
+    return validate.order_violations(reorder.zone_sort(zoned(spark, sf_dir))).agg(F.count("*").alias("violations"))
 
 
 @query
