@@ -696,3 +696,21 @@ def test_repeated_ids_stay(spark):
     assert sorted(tuple(r)[:3] for r in token_files.token_files(df, WORDS).collect()) == [(0, 0, 1), (1, 1, 2), (1, 3, 2), (1, 5, 2)]
     assert packing.pack_documents(df, WORDS).count() == 4
     assert SCHEMA
+
+
+def test_repeated_ids_and_rows_everywhere(spark):
+    """Ids that repeat, with equal and other texts, and missing ids: a row for each row, from its own text."""
+    long = " ".join(f"word{k}" for k in range(60))
+    data = [(1, long, "en"), (1, long, "en"), (1, "other text", "en"), (None, long, None), (None, long, None), (None, None, "fr"), (2, "", "fr")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    tk = Tokenizer.from_file(BYTE)
+    n = {t: len(tk.encode(t or "", add_special_tokens=False).ids) for _, t, _ in data}
+    key = lambda rows: sorted(rows, key=str)
+    assert key((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(df, BYTE).collect()) == key((d, n[t]) for d, t, _ in data)
+    assert key((r["doc_id"], r["n_tokens"]) for r in bpe_codec.round_trip(df, BYTE).collect()) == key((d, n[t]) for d, t, _ in data)
+    words_ = quality.quality(df, df.select("doc_id")).collect()
+    assert key((r["doc_id"], r["n_words"], r["base_failed"]) for r in words_) == key((d, len((t or "").split()), len((t or "").split()) < 50) for d, t, _ in data)
+    assert key((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()) == key([(1, 1), (1, 1), (1, 1), (None, 1), (None, 1), (None, 2), (2, 2)])
+    assert key((r["doc_id"], r["lang_pred"] == "und") for r in language_id.language_id(df).collect()) == key((d, not t) for d, t, _ in data)
+    assert key((r["doc_id"], r["spans"]) for r in secret_scan.secret_spans(df).collect()) == key((d, "") for d, _, _ in data)
+    assert packing.pack_documents(df, WORDS).count() == len(data)

@@ -85,6 +85,42 @@ def test_secret_stage(stages):
     assert all("[SECRET]" in after[d] for d in before if before[d] != after[d])
 
 
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder whose labels trust no document: the base rules alone decide."""
+    folder = f"file://{tmp_path_factory.mktemp('labels')}"
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_stages_on_awkward_rows(spark, labelled):
+    """Null ids and texts, equal rows, and columns named like the operators' own, through all stages."""
+    rng = random.Random(23)
+    say = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.getrandbits(30)) for _ in range(70))
+    a, b, c, d = say(), say(), say(), say()
+    secret = c + " password = AbCdEf123456789x"
+    data = [(1, a), (1, a), (2, b), (2, secret), (None, a), (None, d), (None, None), (None, c + " more"), (4, ""), (5, "too short"), (6, b.upper())]
+    columns = "doc_id long, text string, n_chars long, bucket int, fp long, key string, kept boolean, lang string, _row int"
+    docs = spark.createDataFrame([(d, t, len(t or ""), 1, 2, "k", False, "x", 3) for d, t in data], columns).repartition(4)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, labelled)
+        assert out.columns == docs.columns, name
+    left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (2, c + " [SECRET]"), (None, d)], key=str)  # c + " more" is three bits from the text with the secret
+    assert {(r["bucket"], r["fp"], r["key"], r["kept"], r["_row"]) for r in out.collect()} == {(1, 2, "k", False, 3)}
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, labelled).collect()
+    assert len(packed) == 4 and len({r["sequence_id"] for r in packed}) == 1
+
+
+def test_stages_on_empty_tables(spark, none, labelled):
+    out = none
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, labelled)
+        assert out.columns == none.columns and out.isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, out, labelled).isEmpty()
+
+
 def test_run(spark, stages, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
