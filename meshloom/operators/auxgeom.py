@@ -7,7 +7,7 @@ from enum import IntFlag
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshloom.functions.vectors import Vec, dot, norm, scale, sub, vec
-from meshloom.plans.lineage import settled
+from meshloom.plans.lineage import large, settled
 
 TINY = 1e-30
 
@@ -25,7 +25,7 @@ def with_centroids(faces: DataFrame, metrics: DataFrame) -> DataFrame:
     """``faces`` (with metrics) and both cells' centroids: lx, ly, lz and rx, ry, rz (null on the boundary)."""
     left = metrics.select(F.col("cell_gid").alias("cell_a"), *[F.col(f"c{a}").alias(f"l{a}") for a in "xyz"])
     right = metrics.select(F.col("cell_gid").alias("cell_b"), *[F.col(f"c{a}").alias(f"r{a}") for a in "xyz"])
-    return faces.join(left, "cell_a").join(right, "cell_b", "left")
+    return faces.join(large(left), "cell_a").join(large(right), "cell_b", "left")
 
 
 def _vector() -> Vec:
@@ -66,14 +66,14 @@ def face_geometry(faces: DataFrame, metrics: DataFrame, which: Geom = Geom.ALL)
 def edge_lengths(edges: DataFrame, metrics: DataFrame) -> DataFrame:
     """src, dst, w: the way between two cells' centroids."""
     m = lambda end, p: metrics.select(F.col("cell_gid").alias(end), *[F.col(f"c{a}").alias(f"{p}{a}") for a in "xyz"])
-    return edges.join(m("src", "l"), "src").join(m("dst", "r"), "dst").select("src", "dst", norm(sub(vec("r"), vec("l"))).alias("w"))
+    return edges.join(large(m("src", "l")), "src").join(large(m("dst", "r")), "dst").select("src", "dst", norm(sub(vec("r"), vec("l"))).alias("w"))
 
 
 def wall_seeds(faces: DataFrame, metrics: DataFrame, walls: list[int]) -> DataFrame:
     """cell_gid, d: from cells at a wall patch to the nearest of their wall faces."""
     f = faces.where(F.col("patch_id").isin(walls)).select(F.col("cell_a").alias("cell_gid"), "fx", "fy", "fz")
     c = metrics.select("cell_gid", "cx", "cy", "cz")
-    return f.join(c, "cell_gid").groupBy("cell_gid").agg(F.min(norm(sub(vec("f"), vec("c")))).alias("d"))
+    return f.join(large(c), "cell_gid").groupBy("cell_gid").agg(F.min(norm(sub(vec("f"), vec("c")))).alias("d"))
 
 
 def wall_distance(metrics: DataFrame, faces: DataFrame, edges: DataFrame, walls: list[int], max_sweeps: int | None = None, rel_tol: float = 0.0) -> DataFrame:
@@ -95,4 +95,4 @@ def wall_distance(metrics: DataFrame, faces: DataFrame, edges: DataFrame, walls:
         dist = settled(dist)
         if dist.where("fresh").isEmpty():
             break
-    return metrics.select("cell_gid").join(dist.select("cell_gid", F.col("d").alias("distance")), "cell_gid", "left")
+    return metrics.select("cell_gid").join(large(dist.select("cell_gid", F.col("d").alias("distance"))), "cell_gid", "left")

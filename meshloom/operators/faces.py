@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from meshloom.functions.topology import LFACE_BITS, half_faces, sorted_key
+from meshloom.plans.lineage import large
 
 KEY = ["k0", "k1", "k2", "k3"]
 
@@ -81,4 +82,4 @@ def face_stats(faces: DataFrame) -> DataFrame:
 def face_nodes(faces: DataFrame, cells: DataFrame) -> DataFrame:
     """``faces`` with n0..n3 in the outward order of cell_a."""
     h = half_faces(cells).select(F.col("cell_gid").alias("cell_a"), F.col("lface").alias("lface_a"), "n0", "n1", "n2", "n3")
-    return faces.join(h, ["cell_a", "lface_a"])
+    return faces.join(large(h), ["cell_a", "lface_a"])

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meshloom.functions.topology import FACES, NODES_PER_TYPE, CellType
+from meshloom.functions.topology import FACES, NODES_PER_TYPE, CellType, by_type
 from meshloom.operators.faces import face_nodes
 from meshloom.functions.vectors import Vec, add, cross, dot, norm, scale, sub, vec
+from meshloom.plans.lineage import large
 
 SMALL = 1e-15
 
@@ -20,7 +21,7 @@ SMALL = 1e-15
 def corners(rows: DataFrame, key: list[str], nodes: DataFrame, most: int) -> DataFrame:
     """Coordinates of the nodes array's members as columns x0,y0,z0,x1,..., null beyond its end."""
     long = rows.select(*key, F.posexplode("nodes").alias("pos", "node_gid"))
-    joined = long.join(nodes, "node_gid")
+    joined = long.join(large(nodes), "node_gid")
     aggs = [F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"{c}{k}") for k in range(most) for c in "xyz"]
     return joined.groupBy(*key).agg(*aggs)
 
@@ -36,8 +37,11 @@ def cell_metrics(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     their volume mean, or the anchor where the volume is not above 1e-15. The sums run in numpy on
     Arrow batches: a hexahedron has 24 tetrahedra, more than one generated method may hold.
     """
+    return _measured_cells(corners(cells.select("cell_gid", "ctype", "nodes"), ["cell_gid", "ctype"], nodes, 8))
+
+
+def _measured_cells(wide: DataFrame) -> DataFrame:
     present = [CellType.TET, CellType.PYRA, CellType.PRISM, CellType.HEXA]
-    wide = corners(cells.select("cell_gid", "ctype", "nodes"), ["cell_gid", "ctype"], nodes, 8)
     schema = "cell_gid long, ctype byte, volume double, cx double, cy double, cz double"
 
     def measure(batches):
@@ -89,10 +93,15 @@ def face_metrics(faces: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFr
     key = faces.columns
     rows = named.select(*key, F.when(n[3].isNull(), F.array(*n[:3])).otherwise(F.array(*n)).alias("nodes"))
     small = corners(rows.select("cell_a", "lface_a", "nodes"), ["cell_a", "lface_a"], nodes, 4)
+    return faces.join(large(_measured_faces(small, ["cell_a", "lface_a"])), ["cell_a", "lface_a"])
+
+
+def _measured_faces(small: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, area, normal and centroid of rows with corners x0..z3."""
     p = [_corner(k) for k in range(4)]
     tri = F.col("x3").isNull()
     m = scale(add(add(p[0], p[1]), add(p[2], p[3])), 0.25)
-    step = small.select("cell_a", "lface_a", tri.alias("tri"), *[c.alias(f"{n}{k}") for k in range(4) for n, c in zip("xyz", p[k], strict=True)], *[c.alias(f"m{a}") for a, c in zip("xyz", m, strict=True)])
+    step = small.select(*keep, tri.alias("tri"), *[c.alias(f"{n}{k}") for k in range(4) for n, c in zip("xyz", p[k], strict=True)], *[c.alias(f"m{a}") for a, c in zip("xyz", m, strict=True)])
     m = vec("m")
     fans = [_area_vector(m, p[k], p[(k + 1) % 4]) for k in range(4)]
     whole = _area_vector(p[0], p[1], p[2])
@@ -107,12 +116,28 @@ def face_metrics(faces: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFr
     mids = [scale(add(add(m, p[k]), p[(k + 1) % 4]), 1.0 / 3.0) for k in range(4)]
     third = scale(add(add(p[0], p[1]), p[2]), 1.0 / 3.0)
     area = norm(s)
-    out = step.select(
-        "cell_a", "lface_a", area.alias("area"),
+    return step.select(
+        *keep, area.alias("area"),
         *[(c / area).alias(f"n{a}") for a, c in zip("xyz", s, strict=True)],
         *[F.when(F.col("tri"), third[x]).otherwise((mids[0][x] * weights[0] + mids[1][x] * weights[1] + mids[2][x] * weights[2] + mids[3][x] * weights[3]) / total).alias(f"f{a}") for x, a in enumerate("xyz")],
     )
-    return faces.join(out, ["cell_a", "lface_a"])
+
+
+def mesh_metrics(faces: DataFrame, cells: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What face_metrics and cell_metrics give, from one gathering of the cells' corners.
+
+    A face takes its corners from the row of cell_a, so neither its nodes nor their coordinates
+    are shuffled for it.
+    """
+    wide = corners(cells.select("cell_gid", "ctype", "nodes"), ["cell_gid", "ctype"], nodes, 8)
+    place = by_type(F.col("ctype"), {t: F.array(*[F.lit(c) for f in FACES[t] for c in (*f, None)[:4]]) for t in FACES})
+    keep = ["cell_a", "lface_a", *[c for c in faces.columns if c not in ("cell_a", "lface_a")]]
+    own = faces.join(large(wide.withColumnRenamed("cell_gid", "cell_a")), "cell_a").withColumn("_place", place)
+    at = [F.get("_place", F.col("lface_a") * 4 + k) for k in range(4)]
+    axes = [F.array(*[F.col(f"{a}{k}") for k in range(8)]) for a in "xyz"]
+    own = own.select(*keep, *[x.alias(f"_{a}") for a, x in zip("xyz", axes, strict=True)], *[p.alias(f"_p{k}") for k, p in enumerate(at)])
+    small = own.select(*keep, *[F.get(f"_{a}", F.col(f"_p{k}")).alias(f"{a}{k}") for k in range(4) for a in "xyz"])
+    return _measured_faces(small, keep), _measured_cells(wide)
 
 
 def geometry_violations(faces: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -120,7 +145,7 @@ def geometry_violations(faces: DataFrame, metrics: DataFrame) -> DataFrame:
     f, c = faces.select("cell_a", "area", "nx", "ny", "nz", "fx", "fy", "fz"), metrics.select(F.col("cell_gid").alias("cell_a"), "cx", "cy", "cz")
     out = dot(vec("n"), sub(vec("f"), vec("c"))) <= 0
     bad_cells = metrics.where(~(F.col("volume") > SMALL)).select(F.lit("volume").alias("kind"), "cell_gid")
-    joined = f.join(c, "cell_a")
+    joined = f.join(large(c), "cell_a")
     kind = F.when(~(F.col("area") > SMALL), "area").when(out, "inward")
     return bad_cells.unionByName(joined.select(kind.alias("kind"), F.col("cell_a").alias("cell_gid")).where("kind IS NOT NULL"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meshloom.operators.faces import face_nodes
+from meshloom.plans.lineage import large
 from meshloom.sources.mesh import LocalMesh, Mesh
 
 
@@ -20,7 +21,7 @@ def sides(faces: DataFrame, parts: DataFrame) -> DataFrame:
     """
     a = parts.select(F.col("cell_gid").alias("cell_a"), F.col("part").alias("part_a"))
     b = parts.select(F.col("cell_gid").alias("cell_b"), F.col("part").alias("part_b"))
-    f = faces.join(a, "cell_a").join(b, "cell_b", "left")
+    f = faces.join(large(a), "cell_a").join(large(b), "cell_b", "left")
     view = lambda p, own, nb, lf, nbp, flip: F.struct(F.col(p).alias("part"), F.col(own).alias("owner_gid"), F.col(nb).alias("neigh_gid"), F.col(lf).alias("lface"), nbp.alias("nb_part"), F.lit(flip).alias("flip"))
     cut = F.col("part_b").isNotNull() & (F.col("part_a") != F.col("part_b"))
     none = F.lit(None).cast("int")
@@ -39,8 +40,8 @@ def ghosts(side: DataFrame, parts: DataFrame, kind: str = "face", cells: DataFra
     """
     if kind == "face":
         return side.where("nb_part IS NOT NULL").select("part", F.col("nb_part").alias("donor"), F.col("neigh_gid").alias("cell_gid")).distinct()
-    at = cells.select("cell_gid", F.explode("nodes").alias("node")).join(parts, "cell_gid")
-    near = at.select("part", "node").distinct().join(at.select("node", "cell_gid", F.col("part").alias("donor")), "node")
+    at = cells.select("cell_gid", F.explode("nodes").alias("node")).join(large(parts), "cell_gid")
+    near = at.select("part", "node").distinct().join(large(at.select("node", "cell_gid", F.col("part").alias("donor"))), "node")
     return near.where("part <> donor").select("part", "donor", "cell_gid").distinct()
 
 
@@ -57,15 +58,15 @@ def halo(ghost: DataFrame, local: DataFrame) -> DataFrame:
     own = local.where("donor IS NULL").select("part", "local_id", "cell_gid")
     seq = (F.row_number().over(Window.partitionBy("part", "donor").orderBy("cell_gid")) - 1).cast("int")
     g = ghost.select("part", "donor", "cell_gid", seq.alias("seq"))
-    recv = g.join(local.where("donor IS NOT NULL").select("part", "cell_gid", "local_id"), ["part", "cell_gid"])
+    recv = g.join(large(local.where("donor IS NOT NULL").select("part", "cell_gid", "local_id")), ["part", "cell_gid"])
     recv = recv.select("part", F.col("donor").alias("nb_part"), F.lit("recv").alias("direction"), "seq", "local_id", "cell_gid")
-    send = g.select(F.col("donor").alias("part"), F.col("part").alias("nb_part"), "seq", "cell_gid").join(own, ["part", "cell_gid"])
+    send = g.select(F.col("donor").alias("part"), F.col("part").alias("nb_part"), "seq", "cell_gid").join(large(own), ["part", "cell_gid"])
     return recv.unionByName(send.select("part", "nb_part", F.lit("send").alias("direction"), "seq", "local_id", "cell_gid"))
 
 
 def local_nodes(local: DataFrame, cells: DataFrame) -> DataFrame:
     """part, local_id, node_gid, is_owned: nodes of owned cells by id, then nodes of ghosts alone by id."""
-    used = local.select("part", "cell_gid", "donor").join(cells.select("cell_gid", "nodes"), "cell_gid")
+    used = local.select("part", "cell_gid", "donor").join(large(cells.select("cell_gid", "nodes")), "cell_gid")
     rows = used.select("part", F.col("donor").isNull().alias("own"), F.explode("nodes").alias("node_gid")).groupBy("part", "node_gid").agg(F.bool_or("own").alias("is_owned"))
     w = Window.partitionBy("part").orderBy(F.desc("is_owned"), "node_gid")
     return rows.select("part", (F.row_number().over(w) - 1).cast("int").alias("local_id"), "node_gid", "is_owned")
@@ -75,7 +76,7 @@ def number_faces(side: DataFrame, local: DataFrame) -> DataFrame:
     """``side`` with owner, neigh (local cell ids) and local_id: by owner, then neighbour, boundary first."""
     own = local.select("part", F.col("cell_gid").alias("owner_gid"), F.col("local_id").alias("owner"))
     nb = local.select("part", F.col("cell_gid").alias("neigh_gid"), F.col("local_id").alias("neigh"))
-    f = side.join(own, ["part", "owner_gid"]).join(nb, ["part", "neigh_gid"], "left")
+    f = side.join(large(own), ["part", "owner_gid"]).join(large(nb), ["part", "neigh_gid"], "left")
     w = Window.partitionBy("part").orderBy("owner", F.col("neigh").asc_nulls_first(), "lface")
     return f.withColumn("local_id", (F.row_number().over(w) - 1).cast("int"))
 
@@ -123,4 +124,4 @@ def localize(mesh: Mesh, faces: DataFrame, metrics: DataFrame, parts: DataFrame,
         F.when(F.col("flip"), F.reverse(order)).otherwise(order).alias("nodes"),
         "area", *[(sign * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"], "fx", "fy", "fz",
     )
-    return LocalMesh(cells.join(m, "cell_gid").join(mesh.cells.select("cell_gid", "nodes"), "cell_gid"), part_nodes.join(mesh.nodes, "node_gid"), f, halo(g, cells))
+    return LocalMesh(cells.join(large(m), "cell_gid").join(large(mesh.cells.select("cell_gid", "nodes")), "cell_gid"), part_nodes.join(large(mesh.nodes), "node_gid"), f, halo(g, cells))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from meshloom.operators.reorder import patch_ranges
 from meshloom.functions.topology import NODES_PER_TYPE, MeshError, by_type
 from meshloom.functions.vectors import dot, norm, sub, vec
+from meshloom.plans.lineage import large
 from meshloom.sources.mesh import LocalMesh
 
 
@@ -15,14 +16,14 @@ def cell_violations(m: LocalMesh) -> DataFrame:
     c = m.part_cells
     kind = F.when(F.size("nodes") != by_type(F.col("ctype"), {t: n for t, n in NODES_PER_TYPE.items()}), "node_count").when(~(F.col("volume") > 1e-15), "volume")
     own = c.where("donor IS NULL").select("part", "local_id", F.explode("nodes").alias("node_gid")).distinct()
-    lost = own.join(m.part_nodes.where("is_owned").select("part", "node_gid"), ["part", "node_gid"], "left_anti")
+    lost = own.join(large(m.part_nodes.where("is_owned").select("part", "node_gid")), ["part", "node_gid"], "left_anti")
     return c.select("part", "local_id", kind.alias("kind")).where("kind IS NOT NULL").unionByName(lost.select("part", "local_id", F.lit("node_owner").alias("kind")).distinct())
 
 
 def zone_violations(m: LocalMesh) -> DataFrame:
     """Faces in a zone that they don't belong to: part, local_id, kind."""
     own = m.part_cells.select("part", F.col("local_id").alias("neigh"), F.col("donor").isNotNull().alias("ghost"))
-    f = m.part_faces.join(own, ["part", "neigh"], "left")
+    f = m.part_faces.join(large(own), ["part", "neigh"], "left")
     kind = (
         F.when((F.col("zone") == 0) & (F.col("ghost").isNull() | F.col("ghost") | F.col("patch_id").isNotNull()), "inner")
         .when((F.col("zone") == 1) & (~F.coalesce("ghost", F.lit(False)) | F.col("patch_id").isNotNull()), "coupled")
@@ -51,7 +52,7 @@ def unpatched(part_faces: DataFrame) -> DataFrame:
 def normal_violations(part_faces: DataFrame, part_cells: DataFrame) -> DataFrame:
     """Normals that aren't unit vectors (1e-6) or don't point out of the owner: part, local_id, kind."""
     c = part_cells.select("part", F.col("local_id").alias("owner"), "cx", "cy", "cz")
-    f = part_faces.join(c, ["part", "owner"])
+    f = part_faces.join(large(c), ["part", "owner"])
     kind = F.when(F.abs(norm(vec("n")) - 1) > 1e-6, "length").when(dot(vec("n"), sub(vec("f"), vec("c"))) <= 0, "inward")
     return f.select("part", "local_id", kind.alias("kind")).where("kind IS NOT NULL")
 

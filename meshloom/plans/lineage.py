@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans; keeping tables of mesh size off the driver."""
 
 from __future__ import annotations
 
@@ -8,6 +8,15 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is never broadcast.
+
+    Spark estimates exploded rows by the size of the rows before them: a table of keys of a few MB,
+    a generator's few chunk rows. A join that trusts that collects the whole mesh on the driver.
+    """
+    return df.hint("merge")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that driver and executors share, spark.checkpoint.dir.
 

@@ -48,7 +48,7 @@ def sides_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def measured(spark: SparkSession, sf_dir: str) -> tuple[Mesh, DataFrame, DataFrame]:
     m, f = faces_of(spark, sf_dir)
-    return m, geometry.face_metrics(f, m.cells, m.nodes), geometry.cell_metrics(m.cells, m.nodes)
+    return m, *geometry.mesh_metrics(f, m.cells, m.nodes)
 
 
 def localized(spark: SparkSession, sf_dir: str) -> LocalMesh:

@@ -11,6 +11,7 @@ from meshloom.functions.hilbert import hilbert_key
 from meshloom.functions.topology import FACES, MIRRORED, CellType, MeshError, half_faces, mirrored
 from meshloom.operators import auxgeom, distribution, extrude, faces as fc, geometry, localize, partition, reorder, validate
 from meshloom.plans import pipeline
+from meshloom.plans.queries import QUERIES
 from meshloom.sources import exports, generator
 from meshloom.sources.mesh import Mesh, empty, patch_of_eid
 
@@ -358,3 +359,24 @@ def test_store_round_trip(spark, small, tmp_path):
 def test_empty_mesh(spark):
     cells = empty(spark, "cell_gid long, ctype byte, nodes array<long>")
     assert fc.build_faces(cells).isEmpty() and geometry.cell_metrics(cells, empty(spark, "node_gid long, x double, y double, z double")).isEmpty()
+
+
+@pytest.mark.parametrize("ctype", list(UNIT))
+def test_both_metrics_from_one_gathering(spark, ctype):
+    points, _ = UNIT[ctype]
+    cells, nodes = cells_of(spark, [(7, int(ctype), list(range(len(points))))]), nodes_of(spark, points)
+    f = fc.build_faces(cells)
+    for got, alone in zip(geometry.mesh_metrics(f, cells, nodes), (geometry.face_metrics(f, cells, nodes), geometry.cell_metrics(cells, nodes)), strict=True):
+        assert got.columns == alone.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, alone.collect()))
+
+
+MEASURED = ["cell_violations", "generator_report", "face_distance", "face_vector", "face_distance_inv", "geometry_contracts", "interp_weight", "non_ortho", "normal_violations", "part_report", "rcm_order", "zone_violations", "cell_metrics"]
+
+
+@pytest.mark.parametrize("name", MEASURED)
+def test_no_table_of_mesh_size_is_broadcast(spark, sf_dir, name):
+    """Spark's estimate of exploded rows is small at any size, so joins must not go by it."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert plan.count("Broadcast") <= 2 * (name == "part_report")  # one row a part
