@@ -147,8 +147,7 @@ def _config(spark: SparkSession, sf_dir: str) -> generator.Config:
 def generator_report(spark, sf_dir):
     """Counts and measures of the generated grid, by closed form in the oracle."""
     mesh = generator.generate(spark, _config(spark, sf_dir))
-    f = geometry.face_metrics(fc.build_faces(mesh.cells, mesh.surface), mesh.cells, mesh.nodes)
-    c = geometry.cell_metrics(mesh.cells, mesh.nodes)
+    f, c = geometry.mesh_metrics(fc.build_faces(mesh.cells, mesh.surface), mesh.cells, mesh.nodes)
     area = lambda p: F.round(F.sum(F.when(F.col("patch_id") == p, F.col("area"))), DIGITS)
     one = [
         f.agg(F.count("*").cast("double").alias("n_faces"), F.count("patch_id").cast("double").alias("n_patched"), area(0).alias("inlet_area"), area(1).alias("bottom_area")),
