@@ -26,8 +26,10 @@ def box_key(metrics: DataFrame, by: list[str]) -> DataFrame:
 
 def hilbert_partition(metrics: DataFrame, k: int) -> DataFrame:
     """cell_gid, part: equal pieces of the Hilbert order (ties by id). Never more than one cell apart."""
+    metrics = settled(metrics.select("cell_gid", "cx", "cy", "cz"))  # read for their number, their box and the order
     n = metrics.count()
-    ranked = global_rank(box_key(metrics, []).select("hkey", "cell_gid"), ["hkey", "cell_gid"])
+    keyed = settled(box_key(metrics, []).select("hkey", "cell_gid"))  # the range partitioning reads the keys twice
+    ranked = global_rank(keyed, ["hkey", "cell_gid"])
     return ranked.select("cell_gid", block_owner(F.col("rank"), n, k).cast("int").alias("part"))
 
 
