@@ -7,9 +7,12 @@ from enum import IntFlag
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshloom.functions.vectors import Vec, dot, norm, scale, sub, vec
+from meshloom.operators.partition import hilbert_partition
+from meshloom.operators.relax import shortest_ways
 from meshloom.plans.lineage import large, settled
 
 TINY = 1e-30
+BLOCK = 1 << 17  # cells that one process relaxes at a time
 
 
 class Geom(IntFlag):
@@ -63,10 +66,11 @@ def face_geometry(faces: DataFrame, metrics: DataFrame, which: Geom = Geom.ALL)
     return df.select(*faces.columns, *out)
 
 
-def edge_lengths(edges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """src, dst, w: the way between two cells' centroids."""
-    m = lambda end, p: metrics.select(F.col("cell_gid").alias(end), *[F.col(f"c{a}").alias(f"{p}{a}") for a in "xyz"])
-    return edges.join(large(m("src", "l")), "src").join(large(m("dst", "r")), "dst").select("src", "dst", norm(sub(vec("r"), vec("l"))).alias("w"))
+def edge_lengths(edges: DataFrame, metrics: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, w: the way between two cells' centroids. ``more`` names columns of metrics to take
+    from both ends: src_<name>, dst_<name>."""
+    m = lambda end, p: metrics.select(F.col("cell_gid").alias(end), *[F.col(f"c{a}").alias(f"{p}{a}") for a in "xyz"], *[F.col(c).alias(f"{end}_{c}") for c in more])
+    return edges.join(large(m("src", "l")), "src").join(large(m("dst", "r")), "dst").select("src", "dst", norm(sub(vec("r"), vec("l"))).alias("w"), *[f"{end}_{c}" for c in more for end in ("src", "dst")])
 
 
 def wall_seeds(faces: DataFrame, metrics: DataFrame, walls: list[int]) -> DataFrame:
@@ -79,20 +83,16 @@ def wall_seeds(faces: DataFrame, metrics: DataFrame, walls: list[int]) -> DataFr
 def wall_distance(metrics: DataFrame, faces: DataFrame, edges: DataFrame, walls: list[int], max_sweeps: int | None = None, rel_tol: float = 0.0) -> DataFrame:
     """cell_gid, distance: the shortest way over ``edges`` (face or node neighbours) to a wall.
 
-    Min-plus relaxation. A sweep relaxes only from cells whose distance fell in the last one, and
-    ends when none does (relatively more than ``rel_tol``). Cells that no wall reaches stay null.
-    Every sweep ends in a checkpoint.
+    Min-plus relaxation, to its end within pieces of the Hilbert order, in sweeps between them. It
+    ends when no distance falls (relatively more than ``rel_tol``). Cells that no wall reaches stay
+    null. Every sweep ends in a checkpoint.
     """
-    w = settled(edge_lengths(edges, metrics))
-    dist = settled(wall_seeds(faces, metrics, walls).select("cell_gid", "d", F.lit(True).alias("fresh")))
-    sweep = 0
-    while max_sweeps is None or sweep < max_sweeps:
-        sweep += 1
-        offers = dist.where("fresh").select(F.col("cell_gid").alias("src"), "d").join(w, "src").groupBy(F.col("dst").alias("cell_gid")).agg(F.min(F.col("d") + F.col("w")).alias("offer"))
-        both = dist.select("cell_gid", "d").join(offers, "cell_gid", "full")
-        fell = F.col("offer").isNotNull() & (F.col("d").isNull() | (F.col("offer") < F.col("d") * (1 - rel_tol)))
-        dist = both.select("cell_gid", F.when(fell, F.col("offer")).otherwise(F.col("d")).alias("d"), fell.alias("fresh"))
-        dist = settled(dist)
-        if dist.where("fresh").isEmpty():
-            break
-    return metrics.select("cell_gid").join(large(dist.select("cell_gid", F.col("d").alias("distance"))), "cell_gid", "left")
+    c = settled(metrics.select("cell_gid", "cx", "cy", "cz"))  # read for their number, order, edges and seeds
+    k = -(-c.count() // BLOCK)
+    if k > 1:
+        c = settled(c.join(large(hilbert_partition(c, k).withColumnRenamed("part", "block")), "cell_gid"))
+    else:
+        c = c.withColumn("block", F.lit(0))
+    w = edge_lengths(edges, c, ("block",)).withColumnsRenamed({"src_block": "block", "dst_block": "to_block"})
+    seeds = wall_seeds(faces, c, walls).join(large(c.select("cell_gid", "block")), "cell_gid")
+    return shortest_ways(c.select("cell_gid", "block"), w, seeds, max_sweeps, rel_tol).withColumnRenamed("d", "distance")
