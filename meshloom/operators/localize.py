@@ -52,6 +52,14 @@ def local_cells(parts: DataFrame, ghost: DataFrame) -> DataFrame:
     return rows.select("part", (F.row_number().over(w) - 1).cast("int").alias("local_id"), "cell_gid", "donor")
 
 
+def owned_cells(parts: DataFrame, metrics: DataFrame) -> DataFrame:
+    """part, local_id, cell_gid and metrics of owned cells: the ids of local_cells, where ghosts come
+    after them, without the faces that tell the ghosts."""
+    w = Window.partitionBy("part").orderBy("cell_gid")
+    own = parts.select("part", (F.row_number().over(w) - 1).cast("int").alias("local_id"), "cell_gid")
+    return own.join(large(metrics), "cell_gid")
+
+
 def halo(ghost: DataFrame, local: DataFrame) -> DataFrame:
     """part, nb_part, direction, seq, local_id, cell_gid: what a part receives from and sends to
     each neighbour, both in the order of the receiver's ghosts (global id)."""

@@ -410,8 +410,8 @@ def closed_cells(spark, sf_dir):
 
 @query
 def hilbert_order(spark, sf_dir):
-    own = localized(spark, sf_dir).part_cells.where("donor IS NULL")
-    return reorder.hilbert_order(own)
+    m = lat.lattice(spark, sf_dir)
+    return reorder.hilbert_order(localize.owned_cells(parts_of(spark, sf_dir), geometry.cell_metrics(m.cells, m.nodes)))
 
 
 @query

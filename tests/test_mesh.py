@@ -416,3 +416,18 @@ def test_no_table_of_mesh_size_is_broadcast(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert plan.count("Broadcast") <= 2 * (name == "part_report")  # one row a part
+
+
+def test_hilbert_order_broadcasts_the_box_alone(spark, sf_dir):
+    """One row a part is broadcast; cells' corners meet the nodes by merging."""
+    plan = QUERIES["hilbert_order"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin") == 1
+
+
+def test_owned_cells_are_numbered_as_local_cells(spark, small):
+    f = fc.build_faces(small.cells, small.surface)
+    parts = partition.block_partition(small.cells, 48, 4)
+    local = localize.local_cells(parts, localize.ghosts(localize.sides(f, parts), parts)).where("donor IS NULL")
+    own = localize.owned_cells(parts, geometry.cell_metrics(small.cells, small.nodes))
+    row = lambda df: sorted(tuple(r) for r in df.select("part", "local_id", "cell_gid").collect())
+    assert len(row(own)) == 48 and row(own) == row(local) and own.where("cx IS NULL").isEmpty()
