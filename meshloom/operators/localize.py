@@ -113,6 +113,18 @@ def global_counts(side: DataFrame) -> DataFrame:
     return side.agg((F.count("*") - F.expr("sum(cast(nb_part is not null as bigint)) div 2")).alias("n_faces"), F.expr("sum(cast(nb_part is not null as bigint)) div 2").alias("n_cut"), F.sum(F.col("patch_id").isNotNull().cast("long") * (1 - cut)).alias("n_patched"))
 
 
+def local_faces(side: DataFrame, cells: DataFrame) -> DataFrame:
+    """The faces of all parts with metrics, numbered, normals out of the owner; with nodes in that
+    order where ``side`` has n0..n3."""
+    sign = F.when(F.col("flip"), -1.0).otherwise(1.0)
+    order = F.filter(F.array(*[F.col(f"n{k}") for k in range(4)]), lambda x: x.isNotNull())
+    nodes = [F.when(F.col("flip"), F.reverse(order)).otherwise(order).alias("nodes")] if "n0" in side.columns else []
+    return number_faces(side, cells).select(
+        "part", "local_id", "owner", "neigh", "owner_gid", "neigh_gid", "nb_part", "patch_id", "lface",
+        zone().alias("zone"), *nodes, "area", *[(sign * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"], "fx", "fy", "fz",
+    )
+
+
 def localize(mesh: Mesh, faces: DataFrame, metrics: DataFrame, parts: DataFrame, ghost_kind: str = "face") -> LocalMesh:
     """All tables of the partitioned mesh. ``faces`` carry metrics; a face's normal points out of
     its owner in every part."""
@@ -122,14 +134,5 @@ def localize(mesh: Mesh, faces: DataFrame, metrics: DataFrame, parts: DataFrame,
     cells = local_cells(parts, g)
     m = metrics.select("cell_gid", "ctype", "volume", "cx", "cy", "cz")
     part_nodes = local_nodes(cells, mesh.cells)
-    f = number_faces(side, cells)
-    sign = F.when(F.col("flip"), -1.0).otherwise(1.0)
-    n = [F.col(f"n{k}") for k in range(4)]
-    order = F.filter(F.array(*n), lambda x: x.isNotNull())
-    f = f.select(
-        "part", "local_id", "owner", "neigh", "owner_gid", "neigh_gid", "nb_part", "patch_id", "lface",
-        zone().alias("zone"),
-        F.when(F.col("flip"), F.reverse(order)).otherwise(order).alias("nodes"),
-        "area", *[(sign * F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"], "fx", "fy", "fz",
-    )
+    f = local_faces(side, cells)
     return LocalMesh(cells.join(large(m), "cell_gid").join(large(mesh.cells.select("cell_gid", "nodes")), "cell_gid"), part_nodes.join(large(mesh.nodes), "node_gid"), f, halo(g, cells))

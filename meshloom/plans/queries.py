@@ -511,8 +511,11 @@ def order_violations(spark, sf_dir):
 
 @query
 def normal_violations(spark, sf_dir):
-    m = localized(spark, sf_dir)
-    return validate.normal_violations(m.part_faces, m.part_cells).agg(F.count("*").alias("violations"))
+    _, f, c = measured(spark, sf_dir)
+    p = parts_of(spark, sf_dir)
+    side = localize.sides(f, p)
+    faces = localize.local_faces(side, localize.local_cells(p, localize.ghosts(side, p)))
+    return validate.normal_violations(faces, localize.owned_cells(p, c)).agg(F.count("*").alias("violations"))
 
 
 @query

@@ -431,3 +431,18 @@ def test_owned_cells_are_numbered_as_local_cells(spark, small):
     own = localize.owned_cells(parts, geometry.cell_metrics(small.cells, small.nodes))
     row = lambda df: sorted(tuple(r) for r in df.select("part", "local_id", "cell_gid").collect())
     assert len(row(own)) == 48 and row(own) == row(local) and own.where("cx IS NULL").isEmpty()
+
+
+def test_normals_without_nodes_or_ghosts(spark, small, sf_dir):
+    """What normal_violations counts needs neither: the violations are those of the whole local mesh."""
+    f, c = geometry.mesh_metrics(fc.build_faces(small.cells, small.surface), small.cells, small.nodes)
+    f = f.withColumns({f"n{a}": F.when(F.col("cell_a") % 5 == 0, -F.col(f"n{a}")).otherwise(F.col(f"n{a}")) for a in "xyz"})
+    parts = partition.block_partition(small.cells, 48, 4)
+    m = localize.localize(small, f, c, parts)
+    side = localize.sides(f, parts)
+    faces = localize.local_faces(side, localize.local_cells(parts, localize.ghosts(side, parts)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    bad = rows(validate.normal_violations(faces, localize.owned_cells(parts, c)))
+    assert bad and bad == rows(validate.normal_violations(m.part_faces, m.part_cells))
+    plan = QUERIES["normal_violations"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 50
